@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:  # an edge always points from the larger node a to the smaller node b
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-    return moved.where("a != b").distinct()
+    return moved.where("a != b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,7 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        e = stored(_star(_star(e, True), False))
+        e = stored(_star(_star(e, True), False).distinct())
         after = print_of(e)
         if after == before:
             roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
