@@ -74,7 +74,7 @@ def unpackbits(data: bytes, size: int) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
-    """TIFF LZW: most significant bit first, 9 to 12 bits, the width grows one code early."""
+    """TIFF LZW: most significant bit first, 9 to 12 bits, the width grows with entries 511, 1023 and 2047."""
     book = {bytes((i,)): i for i in range(256)}
     acc, held, out, width, free = 256, 9, bytearray(), 9, 258
     w = b""
@@ -95,7 +95,7 @@ def lzw(data: bytes) -> bytes:
         put(book[w])
         book[w + c] = free
         free += 1
-        if free == 511 or free == 1023 or free == 2047:
+        if free in (512, 1024, 2048):
             width += 1
         elif free == 4094:
             put(256)
@@ -104,7 +104,7 @@ def lzw(data: bytes) -> bytes:
     if w:
         put(book[w])
         free += 1
-        width += free in (511, 1023, 2047)
+        width += free in (512, 1024, 2048)
     put(257)
     if held:
         out.append((acc << (8 - held)) & 255)
