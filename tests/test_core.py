@@ -52,7 +52,7 @@ def test_query_file_writes_csv(spark, shop):
     q = shop / "q.txt"
     q.write_text("SELECT e.Name, (SELECT SUM(s.Amount) FROM Sales s WHERE s.Staff_id = e.Staff_id) AS Total\nFROM Staff e\nORDER BY Total Desc")
     path = run_query_file(spark, str(shop), str(q), str(shop))
-    assert open(path).read() == 'Name,Total\n"Doe, Ann",30.250000\nBo,5.000000\nCy,0.000000\n' or "Cy," in open(path).read()
+    assert open(path).read() == 'Name,Total\n"Doe, Ann",30.250000\nBo,5.000000\nCy,0.000000\n'
 
 
 def test_dates_and_two_valued_logic(spark, shop):
