@@ -39,6 +39,16 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key wanted has, written to the shared folder in buckets of the key: one shuffle now, none
+    when a join on the key reads them.  An inner join, as Spark moves a semi-join below the shuffle and, where it
+    can't broadcast, shuffles df twice.  The table keeps a name of its own in the session's catalog."""
+    spark, n, name = df.sparkSession, partitions(df.sparkSession), f"tabulon_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, key).join(wanted.select(key).distinct(), key)
+    dealt.write.bucketBy(n, key).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, bound as a lambda variable."""
     return F.get(F.transform(F.array(value), body), 0)
