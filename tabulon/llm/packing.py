@@ -28,19 +28,24 @@ class WordIds:
     """Ids of texts through a tokenizer whose words stand alone; words already met are looked up.
 
     Texts are cut at ASCII white space and ASCII letters lowered first, which this tokenizer does
-    itself; a word's trailing punctuation is taken apart where a letter stands before it."""
+    itself; a word's trailing punctuation is taken apart where a letter stands before it.  Words of letters alone are
+    encoded many to a call and told apart by the ids that end a word."""
 
     PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
     def __init__(self, path: str, most: int = 500_000):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.seen = most, {}
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         import numpy as np
@@ -55,10 +60,22 @@ class WordIds:
             else:
                 whole.add(w)
         new = list(whole.difference(self.seen))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, np.uint16).tobytes()
+        letters = [w for w in new if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        others = list(set(new).difference(letters))
+        lines = [letters[i : i + 250] for i in range(0, len(letters), 250)] + [[w] for w in others]
+        for i in range(0, len(lines), 200):
+            some = lines[i : i + 200]
+            for line, e in zip(some, self.tokenizer.encode_batch_fast([b" ".join(x).decode("utf-8", "replace") for x in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint16)
+                cuts = (2 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+                if len(line) == 1:
+                    self.seen[line[0]] = ids.tobytes()
+                elif len(cuts) == len(line):  # a word of letters has one end at least, so each has exactly one
+                    joined = ids.tobytes()
+                    self.seen.update(zip(line, map(joined.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+                else:
+                    for w, alone in zip(line, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in line], add_special_tokens=False)):
+                        self.seen[w] = np.array(alone.ids, np.uint16).tobytes()
         for w, core, tail in parts:
             self.seen[w] = self.seen[core] + self.seen[tail]
 
