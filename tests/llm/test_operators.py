@@ -179,3 +179,13 @@ def test_shards_commit_once(spark, tmp_path):
         store.commit(store.manifest(), 2)
     store.expire()
     assert store.read().select("doc_id", "text").exceptAll(rows.union(rows).select("doc_id", "text")).count() == 0
+
+
+def test_word_ids_match_single_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["  a1b2   zz", "İstanbul naïve éte straße", "don't it's 'll x's", "<|endoftext|> a", " ".join(f"w{'xyz'[i % 3] * (i % 7)}o" for i in range(900)), "数据 данные ªº ﬁn ǅ", ""]
+    assert packing.WordIds(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() for x in texts]
