@@ -13,6 +13,7 @@ and text columns are read, so other columns' names cannot clash.
 """
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -25,9 +26,12 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 
 class Encoder:
-    """Encodes pieces by ranks; one per worker process.  most bounds the remembered chunks."""
+    """Encodes pieces by ranks; one per worker process.
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000, step: int = 30_000, memory: str = "300MB"):
+    Chunks are remembered in a young and an old generation of at most about most each: a full young one becomes the
+    old one, and what is met again moves back, so that frequent chunks stay.  step: bytes of pieces to one query."""
+
+    def __init__(self, ranks_path: str, pattern: str, most: int = 700_000, step: int = 200_000, memory: str = "300MB"):
         import base64
         import re
 
@@ -51,12 +55,13 @@ class Encoder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False})
         made = pa.table({"k": pa.compute.add(pa.compute.multiply(a.cast("int64"), 1 << 20), b.cast("int64")), "r": r})  # noqa: F841
         self.db.execute("create table merges as select k, r from made")
-        names = pa.table({"r": pa.array(range(len(self.tokens)), pa.int32()), "h": [t.hex() for t in self.tokens]})  # noqa: F841
+        names = pa.table({"r": pa.array(range(len(self.tokens)), pa.int32()), "h": pa.array(self.tokens, pa.binary())})  # noqa: F841
         self.db.execute("create table names as select r, h from names")
         self.single = [self.rank[bytes([i])] for i in range(256)]
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.most, self.step, self.seen = most, step, {}
+        self.most, self.step = most, step
+        self.seen, self.old = {}, {}
 
     #: Rows (w, i, t, n): piece, position, token, round.  Each round joins neighbours with the merges, takes the least
     #: rank and then the leftmost position of each piece (packed into one number), and contracts there.  A piece without
@@ -65,7 +70,7 @@ class Encoder:
     with recursive run as (
       select w, i, t, 0 as n from start
       union all
-      (with a as (select w, i, t, n, lead(t) over o as t2, lead(w) over o as w2, lag(i) over o as before from run window o as (order by i)),
+      (with a as materialized (select w, i, t, n, lead(t) over o as t2, lead(w) over o as w2, lag(i) over o as before from run window o as (order by i)),
             c as (select w, min((r::bigint << 40) + i) as best from a join merges on k = t::bigint * 1048576 + t2 where w = w2 group by w)
        select a.w, i, case when i = (best & 1099511627775) then (best >> 40)::int else t end, n + 1
        from a join c on a.w = c.w where before is null or before != (best & 1099511627775)))
@@ -90,7 +95,7 @@ class Encoder:
       where not gone)
     """
     LAST = """
-    select w, list(t order by i), string_agg(h, '' order by i)
+    select w, list({'t': t, 'h': h} order by i)
     from (select w, i, t from run join (select w, max(n) as n from run group by w) using (w, n)) join names on r = t
     group by w
     """
@@ -105,7 +110,7 @@ class Encoder:
         at = 0
         while at < len(rest):
             size, end, short = 0, at, len(rest[at]) <= 64
-            while end < len(rest) and (end == at or size + len(rest[end]) <= 10 * self.step) and (len(rest[end]) <= 64) == short:
+            while end < len(rest) and (end == at or size + len(rest[end]) <= self.step) and (len(rest[end]) <= 64) == short:
                 size, end = size + len(rest[end]), end + 1
             part, at = rest[at:end], end
             lengths = np.array([len(p) for p in part])
@@ -114,25 +119,61 @@ class Encoder:
             self.db.register("start", start)
             got = self.db.sql((self.SHORT if short else self.LONG) + self.LAST).to_arrow_table()
             self.db.unregister("start")
-            where, ids, decoded = (got.column(i).combine_chunks() for i in range(3))
-            values, offs = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            for k, (w, d) in enumerate(zip(where.to_pylist(), decoded.to_pylist())):
-                out[part[w]] = values[offs[k] : offs[k + 1]].tobytes(), bytes.fromhex(d)
+            where, lists = (got.column(i).combine_chunks() for i in range(2))
+            offs = lists.offsets.to_numpy()
+            ids, blobs = lists.values.field(0).to_numpy(zero_copy_only=False).astype("<u4").tobytes(), lists.values.field(1).cast(pa.large_binary())
+            ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+            data, base, cuts = blobs.buffers()[2].to_pybytes(), (4 * offs).tolist(), ends[offs].tolist()
+            for k, w in enumerate(where.to_pylist()):
+                out[part[w]] = ids[base[k] : base[k + 1]], data[cuts[k] : cuts[k + 1]]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text."""
+    def learn(self, chunks: list[str]) -> None:
+        """Has the ids and decoded bytes of the distinct chunks in the young generation."""
         if len(self.seen) > self.most:
-            self.seen.clear()
-        cut = [self.chunks.findall(t) for t in texts]
-        new = {c for x in cut for c in x}.difference(self.seen)
-        split = {c: [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(c)] for c in new}
-        known = self.encode_pieces(list({p for x in split.values() for p in x}))
+            self.old, self.seen = self.seen, {}
+        seen, old, find, split = self.seen, self.old, self.pieces.findall, {}
+        for c in chunks:
+            if c not in seen:
+                got = old.get(c)
+                if got is None:
+                    split[c] = [p.encode("utf-8", "surrogatepass") for p in find(c)]
+                else:
+                    seen[c] = got
+        known = self.encode_pieces(list(set(itertools.chain.from_iterable(split.values()))))
         for c, parts in split.items():
-            self.seen[c] = b"".join(known[p][0] for p in parts), b"".join(known[p][1] for p in parts)
-        for chunks in cut:
-            got = [self.seen[c] for c in chunks]
-            yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+            seen[c] = known[parts[0]] if len(parts) == 1 else tuple(map(b"".join, zip(*[known[p] for p in parts]))) or (b"", b"")
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids, decoded bytes) of each text: the distinct chunks' values, laid out in the order of the chunks."""
+        import numpy as np
+        import pandas as pd
+
+        cut = [self.chunks.findall(t) for t in texts]
+        ends = np.cumsum([0, *map(len, cut)])
+        flat = np.empty(ends[-1], object)
+        flat[:] = list(itertools.chain.from_iterable(cut))
+        codes, distinct = pd.factorize(flat)
+        distinct = distinct.tolist()
+        self.learn(distinct)
+        values = [self.seen[c] for c in distinct]
+        yield from zip(*(laid_out([v[k] for v in values], codes, ends, width) for k, width in ((0, 4), (1, 1))))
+
+
+def laid_out(values: list[bytes], codes, ends, width: int) -> Iterator[bytes]:
+    """Between each two neighbouring ends, the values of the codes there, joined; all are multiples of width long."""
+    import numpy as np
+
+    units = np.frombuffer(b"".join(values), f"<u{width}")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    after = np.cumsum(sizes)
+    kind = np.int32 if max(len(units), int(after[-1]) if len(after) else 0) < 1 << 31 else np.int64
+    at = np.repeat((starts - (after - sizes)).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    out = units[at]
+    bounds = np.append(0, after)[ends].tolist()
+    return (out[i:j].tobytes() for i, j in zip(bounds, bounds[1:]))
 
 
 def groups_of_text(batches: Iterable, column: int, most: int = 4 << 20):
