@@ -189,3 +189,30 @@ def test_word_ids_match_single_texts():
     t.encode_special_tokens = True
     texts = ["  a1b2   zz", "İstanbul naïve éte straße", "don't it's 'll x's", "<|endoftext|> a", " ".join(f"w{'xyz'[i % 3] * (i % 7)}o" for i in range(900)), "数据 данные ªº ﬁn ǅ", ""]
     assert packing.WordIds(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() for x in texts]
+
+
+def test_near_duplicates_hidden_behind_closer_samples(spark):
+    def changed(base, at, tail, mark):
+        out = list(base)
+        for j in [6 * k + 4 for k in at] + list(range(len(base) - tail, len(base))):
+            out[j] = f"{mark}x{j}"
+        return out
+
+    g = np.random.default_rng(12)
+    texts, want = [], {}
+    for f in range(8):  # two documents just above 0.8 of each other, each among 60 just below 0.8 of it
+        one = [f"f{f}w{j}" for j in range(600)]
+        two = changed(one, g.choice(97, 13, False), 0, f"t{f}")
+        decoys = [changed(base, g.choice(97, 13, False), 3, f"d{f}b{b}n{n}") for b, base in enumerate((one, two)) for n in range(60)]
+        family = [*decoys, one, two]
+        order = g.permutation(len(family))
+        at = {int(x): len(texts) + k for k, x in enumerate(order)}
+        pair = (at[len(decoys)], at[len(decoys) + 1])
+        want |= {i: i for i in at.values()} | {max(pair): min(pair)}
+        texts += [family[x] for x in order]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in family]
+        alike = {(i, j) for i in range(len(family)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert alike == {(len(decoys) + 1, len(decoys))}
+    filler = [f"u{i} v{i} y{i}" for i in range(2400)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, [" ".join(t) if isinstance(t, list) else t for t in [*texts, *filler]])).collect()}
+    assert {i: got[i] for i in want} == want
