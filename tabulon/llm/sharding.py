@@ -2,8 +2,9 @@
 
 append() adds a batch as small immutable files; its runs (one per arrival number) enter the manifest
 with their sizes.  compact() sorts the small runs into tiers by size (each four times the one below),
-joins runs of one tier in arrival order into files of about the target size, leaves alone what has
-reached it, and commits.  A manifest is a table of live shards; a version is committed by creating
+joins runs of one tier in arrival order into files of about the target size, joins what stays below
+it with other small shards of its tier, old ones too, until no tier has two, leaves alone the shards
+that have reached it, and commits.  A manifest is a table of live shards; a version is committed by creating
 its marker file, which fails if another writer has made it first, so a reader sees the old or the new
 state and nothing between.  Files that no live version names go in expire().
 
@@ -92,25 +93,67 @@ class Store:
         pieces = F.greatest(F.lit(1), F.floor(F.col("n_bytes") / self.target)).cast("int")
         return sized.withColumn("part", F.floor(before / self.target)).withColumn("pieces", pieces)
 
+    def merged_again(self, units: list[tuple[int, int, str]]) -> list[tuple[list[str], int]]:
+        """(names, tier) of shards to join, given (n_bytes, arrival, name) of those below the target: units of a tier, in
+        arrival order, fill parts of target bytes, and so on with what comes out, until no tier has two below the target."""
+        small, full = [(n, at, [name], None) for n, at, name in units], []
+        while True:
+            tiers: dict = {}
+            for u in sorted(small, key=lambda u: (u[1], u[2])):
+                tiers.setdefault(sum(u[0] >= self.smallest * 4 ** k for k in range(1, 32) if self.smallest * 4 ** k < self.target), []).append(u)
+            if all(len(line) < 2 for line in tiers.values()):
+                return [(names, tier) for _, _, names, tier in full + small if len(names) > 1]
+            small = []
+            for tier, line in tiers.items():
+                parts, before = {}, 0
+                for u in line:
+                    parts.setdefault(before // self.target, []).append(u)
+                    before += u[0]
+                for part in parts.values():
+                    u = part[0] if len(part) == 1 else (sum(x[0] for x in part), part[0][1], [y for x in part for y in x[2]], tier)
+                    (small if u[0] < self.target else full).append(u)
+
     def compact(self) -> int:
-        """Merges all small runs and commits; rows move once, to the task of their new shard."""
+        """Merges all small runs and shards and commits; rows move once, to the task of their new shard."""
         before = (self.versions() or [0])[-1]
         live = self.manifest()
         runs, done = live.where("shard is null"), live.where("shard is not null")
         folders = [r["folder"] for r in runs.select("folder").distinct().collect()]  # one per append since the last compaction
-        if not folders:
+        # Shards to merge again: all old ones below the target, and the last part of each block and tier of the new runs
+        # (the parts before it were filled; one that came out below the target is an old one at the next compaction).
+        unit = F.format_string("b%d-t%d-p%d", "block", "tier", "part")
+        plan = self.plan(runs)
+        last = plan.groupBy("block", "tier").agg(F.max("part").alias("part"))
+        ends = plan.join(last, ["block", "tier", "part"]).groupBy(unit.alias("name")).agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n"), F.min("arrival").alias("arrival"), F.max("pieces").alias("pieces"))
+        ends = ends.where(f"pieces = 1 and n < {self.target}").select("n", "arrival", "name")
+        old = {f"{r['folder']}/{r['shard']}": r for r in done.where(f"coalesce(n_bytes, 0) < {self.target}").collect()}
+        units = [tuple(r) for r in ends.collect()] if folders else []
+        joins = self.merged_again(units + [(r["n_bytes"] or 0, r["arrival"], name) for name, r in old.items()])
+        if not folders and not joins:
             return before
+        to = [(name, f"m{k}-t{tier}", tier) for k, (names, tier) in enumerate(joins) for name in names]
         rows = None
         for f in folders:
             some = self.spark.read.parquet(f).withColumn("_folder", F.lit(f))
             rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
-        plan = self.plan(runs).select(F.col("folder").alias("_folder"), F.col("arrival").alias("_arrival"), "block", "tier", "part", "pieces")
         target = f"{self.root}/data/{before + 1:08d}"
-        # The plan is broadcast only if its measured size allows it; else a join by arrival.
-        piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_folder", "_arrival")]), F.col("pieces"))
-        placed = rows.join(plan, ["_folder", "_arrival"]).withColumn("_shard", F.format_string("b%d-t%d-p%d-%d", "block", "tier", "part", F.when(F.col("pieces") > 1, piece).otherwise(F.lit(0))))
-        placed = placed.drop("_folder", "block", "part", "pieces").withColumnRenamed("tier", "_tier")
-        placed.repartition(partitions(self.spark), "_shard").write.partitionBy("_shard").option("compression", "zstd").mode("overwrite").parquet(target)
+        placed = None
+        if rows is not None:
+            where = plan.select(F.col("folder").alias("_folder"), F.col("arrival").alias("_arrival"), unit.alias("_unit"), F.col("tier").alias("_tier"), "pieces")
+            # The plan is broadcast only if its measured size allows it; else a join by arrival.
+            piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_folder", "_arrival")]), F.col("pieces"))
+            placed = rows.join(where, ["_folder", "_arrival"]).withColumn("_shard", F.format_string("%s-%d", "_unit", F.when(F.col("pieces") > 1, piece).otherwise(F.lit(0))))
+            placed = placed.drop("_folder", "pieces")
+        for f in sorted({old[name]["folder"] for name, _, _ in to if name in old}):
+            here = [old[name]["shard"] for name, _, _ in to if name in old and old[name]["folder"] == f]
+            some = self.spark.read.parquet(f).where(F.col("_shard").isin(here)).withColumn("_unit", F.concat(F.lit(f + "/"), "_shard"))
+            placed = some if placed is None else placed.unionByName(some, allowMissingColumns=True)
+        if to:
+            moves = self.spark.createDataFrame(to, "_unit string, _into string, _as int")
+            placed = placed.join(moves, "_unit", "left").withColumn("_shard", F.coalesce("_into", "_shard")).withColumn("_tier", F.coalesce("_as", "_tier")).drop("_into", "_as")
+            gone = [name for name, _, _ in to if name in old]
+            done = done.where(~F.concat("folder", F.lit("/"), "shard").isin(gone)) if gone else done
+        placed.drop("_unit").repartition(partitions(self.spark), "_shard").write.partitionBy("_shard").option("compression", "zstd").mode("overwrite").parquet(target)
         kept = self.spark.read.parquet(target)
         new = kept.groupBy("_shard").agg(F.min("_arrival").alias("arrival"), F.min("_tier").alias("tier"), F.count(F.lit(1)).alias("n_rows"), F.sum("_bytes").alias("n_bytes"))
         new = new.select(F.lit(target).alias("folder"), F.col("_shard").cast("string").alias("shard"), "arrival", "tier", "n_rows", "n_bytes")
@@ -119,11 +162,13 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with _arrival, _bytes, _tier and _shard (null before compaction)."""
         live = self.manifest(version)
-        folders = live.groupBy("folder").agg(F.max(F.col("shard").isNotNull()).alias("merged")).collect()  # one per append or compaction
+        folders = live.groupBy("folder").agg(F.collect_list("shard").alias("shards")).collect()  # one per append or compaction
         rows = None
         for f in folders:
             some = self.spark.read.parquet(f["folder"])
-            if not f["merged"]:
+            if f["shards"]:  # a later compaction may have moved others of this folder
+                some = some.where(F.col("_shard").cast("string").isin(f["shards"]))
+            else:
                 some = some.withColumn("_shard", F.lit(None).cast("string")).withColumn("_tier", F.lit(None).cast("int"))
             some = some.withColumn("_shard", F.col("_shard").cast("string"))
             rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
@@ -132,12 +177,16 @@ class Store:
         return rows
 
     def expire(self) -> None:
-        """Deletes data folders that the newest version does not name."""
-        live = {r["folder"] for r in self.manifest().select("folder").distinct().collect()}
+        """Deletes data folders, and shards in them, that the newest version does not name."""
+        live = {r["folder"]: r["shards"] for r in self.manifest().groupBy("folder").agg(F.collect_list("shard").alias("shards")).collect()}
         fs, p = self._fs(f"{self.root}/data")
         for x in fs.listStatus(p) if fs.exists(p) else []:
             if x.getPath().getName() not in {f.rsplit("/", 1)[1] for f in live}:
                 fs.delete(x.getPath(), True)
+        for f, shards in live.items():
+            for x in fs.listStatus(self._fs(f)[1]) if shards else []:
+                if (name := x.getPath().getName()).startswith("_shard=") and name[7:] not in shards:
+                    fs.delete(x.getPath(), True)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -216,3 +216,21 @@ def test_near_duplicates_hidden_behind_closer_samples(spark):
     filler = [f"u{i} v{i} y{i}" for i in range(2400)]
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, [" ".join(t) if isinstance(t, list) else t for t in [*texts, *filler]])).collect()}
     assert {i: got[i] for i in want} == want
+
+
+def test_shards_climb_tiers_over_many_compactions(spark, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/s", target=4000, smallest=100)
+    for k in range(6):
+        rows = docs(spark, ["x" * 300, "y" * 500], [2 * k, 2 * k + 1])
+        store.append(rows, F.lit(k), F.octet_length("text"))
+        store.compact()
+    shards = store.manifest().collect()
+    sizes = sorted(r.n_bytes for r in shards)
+    assert sum(sizes) == 4800 and sum(n < 4000 for n in sizes) <= 3 and len(sizes) < 4 and all(r.shard for r in shards)
+    full = {(r.folder, r.shard) for r in shards if r.n_bytes >= 4000}
+    store.expire()
+    store.append(docs(spark, ["z" * 50], [99]), F.lit(9), F.octet_length("text"))
+    store.compact()
+    store.expire()
+    assert full and full <= {(r.folder, r.shard) for r in store.manifest().collect()}
+    assert sorted((r.doc_id, len(r.text)) for r in store.read().collect()) == [(i, 500 if i % 2 else 300) for i in range(12)] + [(99, 50)]
