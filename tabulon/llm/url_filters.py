@@ -5,7 +5,9 @@ take the decision of their aliases: redirects (meta refresh) and canonical links
 URLs, distributed connected components join aliases, and a component with a blocked member and no
 explicitly allowed one is blocked (an explicit allow anywhere in it wins).
 
-Defined cases: a null or relative URL has an empty host and path, fits no rule, has no alias and is
+Targets are resolved against the page's URL, with HTML entities replaced.
+
+Defined cases: a null or relative page URL has an empty host and path, fits no rule, has no alias and is
 allowed; null html gives no edges; repeated rows are judged alike; links to URLs outside the table
 still join their aliases; an empty table gives an empty result; extra columns are ignored.
 """
@@ -49,20 +51,56 @@ def same_page(url: Column) -> Column:
     return F.when(head == "", F.lit(None).cast("string")).otherwise(F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + 1)))
 
 
+def unescaped(value: Column) -> Column:
+    """value with its HTML character references (numeric, or named with a semicolon) replaced."""
+    from html.entities import html5
+
+    names = F.create_map(*[F.lit(x) for k, v in html5.items() if k.endswith(";") for x in ("&" + k, v)])
+
+    def plain(token: Column) -> Column:
+        digits = F.regexp_extract(token, r"^&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(token.startswith("&#") & known, char).otherwise(F.coalesce(F.element_at(names, token), token))
+
+    tokens = F.regexp_extract_all(value, F.lit(r"(?s)&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0))
+    return F.when(value.contains("&"), F.array_join(F.transform(tokens, plain), "")).otherwise(value)
+
+
+def resolved(target: Column, page: Column) -> Column:
+    """The absolute URL that target means on a page (RFC 3986), without fragment; page is absolute."""
+    bare, base = F.regexp_replace(target, r"(?s)#.*$", ""), F.regexp_replace(page, r"(?s)[?#].*$", "")
+    scheme, origin = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/]*)", 1)
+    path = F.substr(base, F.length(origin) + 1)
+    full = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/?(.*/)?", 1), bare))
+    steps = F.split(F.regexp_extract(full, r"(?s)^/([^?]*)", 1), "/")
+    last = F.element_at(steps, -1).isin(".", "..")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    tidy = F.concat(origin, F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), "/").otherwise(""), F.regexp_extract(full, r"(?s)(\?.*)$", 1))
+    return (F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, bare))
+            .when(bare == "", F.regexp_replace(page, r"(?s)#.*$", "")).when(bare.startswith("?"), F.concat(base, bare)).otherwise(tidy))
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(a, b): the page's URL and the absolute URL that it names as canonical or refreshes to."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
+    """(a, b): the page's URL and the URL, resolved against it, that it names as canonical or refreshes to."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
 
     def target(tag: Column) -> Column:
-        value = lambda name: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']?\s*([^\"'>]*)", 1)
-        canonical = F.lower(F.trim(value("rel"))) == "canonical"
-        refresh = F.lower(F.trim(value("http-equiv"))) == "refresh"
-        url = F.regexp_extract(tag, r"(?is)url\s*=\s*'?\s*([^\"'>\s]+)", 1)
-        return F.when(canonical, F.trim(F.regexp_extract(tag, r"(?is)\shref\s*=\s*[\"']?\s*([^\"'>\s]*)", 1))).when(refresh, url)
+        def value(name: str) -> Column:
+            found = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+            return F.trim(unescaped(F.concat(*[F.regexp_extract(tag, found, k) for k in (1, 2, 3)])))
+
+        canonical = F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical")
+        refresh = F.lower(value("http-equiv")) == "refresh"
+        url = F.regexp_extract(value("content"), r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+        href = F.regexp_extract(value("href"), r"^([^\"'>\s]*)", 1)
+        return F.when(canonical, href).when(refresh, url)
 
     has = F.col("html").rlike(r"(?i)canonical|http-equiv")
-    found = pages.where("url is not null and html is not null").where(has).select("url", F.explode(F.transform(tags, target)).alias("to"))
-    return found.select(same_page(F.col("url")).alias("a"), same_page(F.col("to")).alias("b")).where("a is not null and b is not null and a != b")
+    found = pages.where("url is not null and html is not null").where(has).where(same_page(F.col("url")).isNotNull()).select("url", F.explode(F.transform(tags, target)).alias("to"))
+    found = found.where("to != ''")
+    return found.select(same_page(F.col("url")).alias("a"), same_page(resolved(F.col("to"), F.col("url"))).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def judged(pages: DataFrame, links: DataFrame | None = None, rules=RULES) -> DataFrame:

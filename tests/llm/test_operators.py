@@ -234,3 +234,12 @@ def test_shards_climb_tiers_over_many_compactions(spark, tmp_path):
     store.expire()
     assert full and full <= {(r.folder, r.shard) for r in store.manifest().collect()}
     assert sorted((r.doc_id, len(r.text)) for r in store.read().collect()) == [(i, 500 if i % 2 else 300) for i in range(12)] + [(99, 50)]
+
+
+def test_alias_targets_of_every_form(spark):
+    refresh, long = '<meta http-equiv="refresh" content="0; url={}">'.format, "q" * 6000
+    rows = [(1, "http://www.example.com/x", refresh("/de/y")), (2, "http://a.com/b", refresh("//bad.net/x")), (3, "http://www.example.com/a/b", refresh("../de/z?k=1")),
+            (4, "http://c.com/", refresh(f"http://bad.net/{long}")), (5, "http://d.com/", '<link rel="nofollow Canonical" href="http://bad.net/1">'),
+            (6, "http://e.com/", refresh("http://f.com/?a=1&amp;b=&#50;&#x33;")), (7, "http://f.com/?a=1&b=23", refresh("http://bad.net/2")), (8, "http://g.com/", "<link rel=stylesheet href=http://bad.net/canonical>")]
+    got = {r.page_id: r.verdict for r in url_filters.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" for k in range(1, 8)} | {8: "allow"}
