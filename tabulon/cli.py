@@ -4,7 +4,21 @@ from __future__ import annotations
 import shlex
 import sys
 
-from .errors import EngineError
+from .errors import EngineError, translated
+
+
+#: Settings of hash tables, tiles, device and memory that have no counterpart here, and what they were for.
+KNOBS = {"htEx": "hash table size", "mTE": "tile size", "Acc": "device", "bd": "block size", "bd2": "block size of pairs", "mGM": "device memory", "rIMS": "rows in memory", "nS": "streams"}
+
+
+def engine_lines() -> list[str]:
+    """Lines of standard input up to one that is a full stop, or the end."""
+    out = []
+    for line in sys.stdin:
+        if line.strip() == ".":
+            break
+        out.append(line.strip())
+    return out
 
 
 def session():
@@ -31,9 +45,15 @@ def command(engine, line: str) -> str:
     if verb == "show" and rest:
         start, count = ([int(x) for x in rest[1:3]] + [0, 10][len(rest) - 1 :])[:2]
         return "\n".join(str(r) for r in engine.table(rest[0]).offset(start).limit(count).collect())
+    if verb == "dummy":
+        return "ok"
+    if verb == "editor":  # lines up to a single full stop are one query
+        return command(engine, " ".join(engine_lines()))
     if verb in ("hash", "sort"):
         return "indexes are chosen by Spark; nothing to do"
     if verb == "cfg" and len(rest) == 2:
+        if rest[0] in KNOBS:
+            return f"{rest[0]}: {KNOBS[rest[0]]}; Spark decides, nothing to do"
         engine.spark.conf.set(*rest)
         return f"{rest[0]} = {rest[1]}"
     df = engine.query(line)
@@ -55,8 +75,8 @@ def main(args: list[str]) -> int:
             if line.strip():
                 try:
                     print(command(engine, line.strip()))
-                except (EngineError, OSError, ValueError) as e:
-                    print(f"error: {e}", file=sys.stderr)
+                except Exception as e:  # the prompt outlives whatever a line does, Spark's errors at run time too
+                    print(f"error: {str(translated(e)).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 0
     except (EngineError, OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

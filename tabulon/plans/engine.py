@@ -1,13 +1,28 @@
 """Tables by name, SQL over them, and query files."""
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import DuplicateTableError, EngineError, NoSuchTableError, translated
+from ..errors import DuplicateTableError, EngineError, NoSuchTableError, UnsupportedOperationError, translated
 from ..sources import csv
-from .dialect import Rewriter, guard, joined, statements
+from .dialect import name_of, rewritten, statements
+
+
+def select(spark: SparkSession, sql: str) -> DataFrame:
+    """spark.sql for queries only: what Spark parses as anything else is refused before it runs."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getName()
+        if re.search(r"Command|Statement|plans\.logical\.(Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Replace|Overwrite|Append|Cache|Set|Show|Describe)", kind):
+            raise UnsupportedOperationError(f"{kind.rsplit('.', 1)[1]}: only queries are run")
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return spark.sql(sql)
 
 
 class Engine:
@@ -51,35 +66,19 @@ class Engine:
     def details(self, name: str) -> dict[str, str]:
         return {f.name: f.dataType.simpleString() for f in self.table(name).schema}
 
-    def types(self, words: list[str]) -> dict[str, str]:
-        """Types of the columns of the tables that the statement names, by column, table.column and alias.column."""
-        out: dict[str, str] = {}
-        clash = set()
-        for k, w in enumerate(words):
-            df = self.tables.get(w.strip("`\""))
-            if df is None or (k and words[k - 1] == "."):
-                continue
-            after = words[k + 1 : k + 3]
-            alias = after[1] if after[:1] and after[0].upper() == "AS" and len(after) > 1 else after[0] if after else ""
-            for f in df.schema:
-                kind, c = f.dataType.simpleString(), f.name.lower()
-                if out.get(c, kind) != kind:
-                    clash.add(c)
-                out[c] = kind
-                out[f"{w.lower()}.{c}"] = kind
-                if alias.isidentifier():
-                    out[f"{alias.lower()}.{c}"] = kind
-        return {c: k for c, k in out.items() if c not in clash}
+    def columns(self) -> dict[str, dict[str, str]]:
+        """Columns and types of every table, for the rewriter."""
+        return {name: self.details(name) for name in self.tables}
 
     def sql(self, text: str) -> list[DataFrame]:
         """The result of each SELECT of text."""
         parts = statements(text)
         if not parts:
             raise EngineError("invalid SQL query")
-        for p in parts:
-            guard(p)
+        tables = self.columns()
+        ready = [rewritten(p, tables) for p in parts]  # all are read before any runs
         try:
-            return [self.spark.sql(joined(Rewriter(self.types(p)).run(p))) for p in parts]
+            return [select(self.spark, sql) for sql in ready]
         except EngineError:
             raise
         except Exception as e:
@@ -98,7 +97,7 @@ class Engine:
 def run_query_file(spark: SparkSession, folder: str, query_file: str, out_dir: str = ".", prefix: str = "result") -> str:
     """Loads the tables that a query file names from a folder, runs it, and writes <prefix>_<stem>.csv."""
     text = Path(query_file).read_text()
-    names = {t.strip("`\"") for s in statements(text) for t in s}
+    names = {name_of(t) for s in statements(text) for t in s}
     engine = Engine(spark)
     engine.load_folder(folder, names)
     try:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from .functions import semantics as S
 from .operators import relational as R
-from .plans.dialect import Rewriter, joined, tokens
+from .plans.dialect import rewritten, tokens
+from .plans.engine import select
+from .sources import csv
+from .sources.scratch import scratch
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 TS = "timestamp_ntz"
@@ -39,12 +42,11 @@ def sql(name: str, text: str, oracle: str | None = None):
     """Registers SQL text, run through the engine's dialect over views of the tables that it names."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        words, types = tokens(text), {}
+        words = tokens(text)
         frames = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if t in words}
         for t, df in frames.items():
             df.createOrReplaceTempView(t)
-            types |= {f.name: f.dataType.simpleString() for f in df.schema}
-        return spark.sql(joined(Rewriter(types).run(words)))
+        return select(spark, rewritten(words, {t: {f.name: f.dataType.simpleString() for f in df.schema} for t, df in frames.items()}))
 
     run.__name__ = name
     QUERIES[name], ORACLES[name] = run, oracle or text
@@ -60,6 +62,34 @@ def project_columns(t):
     return t.customer.select("c_custkey", F.col("c_name").alias("name"))
 
 
+TAGGED = ["o_orderkey (N) (P)", "o_custkey (N)", "o_orderstatus (T)", "o_totalprice (N)", "o_orderdate (D)", "o_orderpriority (T)"]
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")
+def scan_csv(t):
+    """Orders, written as CSV files with tagged headers, through the typed scan."""
+    folder = scratch(t.spark)
+    csv.write_parts(t.orders.toDF(*TAGGED), folder)
+    return csv.scan(t.spark, folder)
+
+
+@query("select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer")
+def scan_csv_untagged(t):
+    """Customers as CSV without tags: types are found in the cells."""
+    folder = scratch(t.spark)
+    csv.write_parts(t.customer, folder)
+    return csv.scan(t.spark, folder)
+
+
+@query("select o_orderkey || ',' || printf('%.6f', o_totalprice) || ',' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',\"a \"\"' || o_orderpriority || '\"\", b\",' as line from orders")
+def sink_csv(t):
+    """Lines of the CSV sink: six decimals, padded date-times, quotes where they must be, nothing for null."""
+    folder = scratch(t.spark)
+    odd = F.concat(F.lit('a "'), "o_orderpriority", F.lit('", b'))
+    csv.write_parts(t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", odd.alias("odd"), F.lit(None).cast("long").alias("none")), folder)
+    return t.spark.read.text(folder).where("value not like 'o_orderkey%'").withColumnRenamed("value", "line")
+
+
 sql("project_star", "SELECT * FROM region")
 sql("alias_table", "SELECT n.n_name, n.n_regionkey FROM nation n")
 sql("derived_table", "SELECT d.k, d.v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 5000) d WHERE d.v < 8000")
@@ -209,6 +239,50 @@ sql("const_div", "SELECT n_name FROM nation WHERE n_nationkey = 7 / 2", "select
 sql("const_neg", "SELECT c_custkey FROM customer WHERE c_acctbal < -500")
 sql("const_concat", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUIL' + 'DING'", "select c_custkey from customer where c_mktsegment = 'BUILDING'")
 
+# Forms of the dialect: each goes through the rewriter as text.
+sql("project_qualified_star", "SELECT n.*, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey", "select nation.*, r_name from nation join region on n_regionkey = r_regionkey")
+sql("project_not", "SELECT c_custkey, NOT c_nationkey = 1 AS other FROM customer", "select c_custkey, not coalesce(c_nationkey = 1, false) as other from customer")
+sql("derived_table_columns", "SELECT d.a, d.b FROM (SELECT n_nationkey, n_name FROM nation) AS d(a, b) WHERE d.a != 3", "select n_nationkey as a, n_name as b from nation where n_nationkey <> 3")
+NULLS = "(SELECT c_custkey AS k, nullif(c_nationkey, 3) AS x, nullif(c_custkey % 25, 4) AS y, c_acctbal AS v FROM customer) d"
+sql("filter_ne_columns", f"SELECT k FROM {NULLS} WHERE x != y", f"select k from {NULLS} where not coalesce(x = y, false)")
+sql("filter_ne_negative", f"SELECT k FROM {NULLS} WHERE x <> -5", "select c_custkey as k from customer")
+sql("filter_ne_reversed", f"SELECT k FROM {NULLS} WHERE 5 != x", f"select k from {NULLS} where not coalesce(x = 5, false)")
+sql("filter_ne_subquery", f"SELECT k FROM {NULLS} WHERE x != (SELECT MIN(n_nationkey) FROM nation)", f"select k from {NULLS} where not coalesce(x = 0, false)")
+sql("filter_not_between", f"SELECT k FROM {NULLS} WHERE NOT x BETWEEN 1 AND 5", f"select k from {NULLS} where not coalesce(x between 1 and 5, false)")
+sql("filter_not_nested", f"SELECT k FROM {NULLS} WHERE NOT (x = 2 OR NOT y > 7) AND NOT x IN (1, 9)", f"select k from {NULLS} where not coalesce(x = 2 or not coalesce(y > 7, false), false) and not coalesce(x in (1, 9), false)")
+sql("filter_between_sum", "SELECT p_partkey FROM part WHERE p_size BETWEEN 1 + 2 + 3 + 4 AND 5 * 4", "select p_partkey from part where p_size between 10 and 20")
+sql("filter_const_bracket", "SELECT r_name FROM region WHERE (1) AND NOT (2 - 2)", "select r_name from region")
+sql("filter_const_text", "SELECT r_name FROM region WHERE '' OR 'x'", "select r_name from region")
+sql("filter_literal_cast", "SELECT n_name FROM nation WHERE n_nationkey = 2.9 OR 7.5 = n_nationkey", "select n_name from nation where n_nationkey in (2, 7)")
+sql("filter_le_reversed_date", "SELECT o_orderkey FROM orders WHERE '1995-06-30' >= o_orderdate", "select o_orderkey from orders where o_orderdate < timestamp '1995-07-01 00:00:00'")
+sql("filter_time_sql", "SELECT o_orderkey FROM orders WHERE o_orderdate = '0:00:00' AND o_orderdate != '1998-01-15'", "select o_orderkey from orders where strftime(o_orderdate, '%H:%M:%S') = '00:00:00' and cast(o_orderdate as date) <> date '1998-01-15'")
+sql("filter_corr_where", "SELECT c_custkey FROM customer WHERE c_acctbal < (SELECT SUM(o_totalprice) FROM orders WHERE o_custkey = c_custkey)", "select c_custkey from customer where c_acctbal < coalesce((select sum(o_totalprice) from orders where o_custkey = c_custkey), 0)")
+sql("join_natural", "SELECT k, n, r FROM (SELECT n_regionkey AS k, n_name AS n FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name AS r FROM region) b")
+sql("join_cross_kind", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+sql("join_left_on_two", "SELECT c_custkey, o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
+sql("agg_avg_ts", "SELECT AVG(o_orderdate) AS middle FROM orders", "select make_timestamp(cast((2 * sum(epoch_us(o_orderdate)::hugeint) + count(*)) // (2 * count(*)) as bigint)) as middle from orders")
+sql("agg_zero_sql", "SELECT COUNT(o_orderkey) AS n, SUM(o_custkey) AS total, AVG(o_totalprice) AS mean, MIN(o_orderstatus) AS least, MAX(o_orderdate) AS last FROM orders WHERE o_orderkey < 0", "select 0::bigint as n, 0::bigint as total, 0::double as mean, '' as least, timestamp '1970-01-01 00:00:00' as last")
+sql("agg_of_expression", "SELECT l_returnflag, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY l_returnflag")
+sql("agg_filter", "SELECT COUNT(*) FILTER (WHERE l_quantity > 25) AS n, COUNT(DISTINCT l_suppkey) AS s FROM lineitem")
+sql("group_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+sql("group_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+sql("subquery_corr_sql", "SELECT c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n, (SELECT MAX(o.o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey) AS last FROM customer c", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n, coalesce((select max(o_orderkey) from orders where o_custkey = c_custkey), 0) as last from customer")
+sql("subquery_multicol_sql", "SELECT n_name, (SELECT COUNT(*) AS n, MIN(c_custkey) AS first FROM customer WHERE c_nationkey = n_nationkey) FROM nation", "select n_name, a.n, coalesce(a.first, 0) as first from nation, lateral (select count(*) as n, min(c_custkey) as first from customer where c_nationkey = n_nationkey) a")
+sql("subquery_in_not", "SELECT n_name FROM nation WHERE NOT n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 1)", "select n_name from nation where n_regionkey <= 1")
+sql("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
+sql("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
+sql("set_top", "SELECT TOP 1 r_regionkey AS k FROM region WHERE r_regionkey = 2 UNION ALL SELECT n_nationkey AS k FROM nation ORDER BY k", "select 2 as k union all select n_nationkey from nation")
+sql("cte_chain", "WITH a AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer), b(k, total) AS (SELECT k, COUNT(*) FROM a WHERE v != 0 GROUP BY k) SELECT n_name, total FROM nation JOIN b ON n_nationkey = k", "with a as (select c_nationkey as k, c_acctbal as v from customer), b(k, total) as (select k, count(*) from a where v <> 0 group by k) select n_name, total from nation join b on n_nationkey = k")
+sql("lock_and_schema", "SELECT r_name FROM public.region WHERE r_regionkey = 1 FOR UPDATE", "select r_name from region where r_regionkey = 1")
+sql("case_when", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'even' END AS class FROM customer")
+sql("quoted_names", 'SELECT "c_name" AS "full name" FROM customer WHERE "c_mktsegment" = \'BUILDING\'')
+sql("window_sql", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS r, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM orders")
+
+sql("const_div_column", "SELECT n_nationkey, n_nationkey * 7 / 2 AS half FROM nation")
+sql("const_div_bracket", "SELECT n_name FROM nation WHERE n_nationkey = (1 + 6) / 2", "select n_name from nation where n_nationkey = 3")
+sql("const_promote", "SELECT n_name FROM nation WHERE n_nationkey > 7 / 2.0", "select n_name from nation where n_nationkey > 3")
+sql("const_escape", "SELECT r_regionkey, 'it''s' AS t FROM region WHERE 'a\\' + 'b' = 'a\\b'", "select r_regionkey, 'it''s' as t from region")
+
 
 @query("select o_custkey, o_orderkey, rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders")
 def window_rank(t):

@@ -7,24 +7,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: a header's trailing one-letter tag: N number, T text, D date and time, P primary key.
-TAG = re.compile(r"\s*\(([a-zA-Z0-9])\)\s*$")
-INTEGER, FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-MOMENT = r"^\s*\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}(:\d{1,2})?)?\s*$"
+#: Fixed value: one-letter groups in brackets at a header's end: N number, T text, D date and time, P primary key.
+TAGS = re.compile(r"(?:\s*\([a-zA-Z0-9]\))+\s*$")
+WHOLE, FLOAT = r"^\s*[+-]?\d{1,19}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+MOMENT = r"^\s*(\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}(:\d{1,2})?)?|\d{1,2}:\d{1,2}:\d{1,2})\s*$"
 
 
 def split_header(cell: str) -> tuple[str, set[str]]:
     """Name and tags (upper case) of a header cell."""
-    tags = set()
-    while m := TAG.search(cell):
-        tags.add(m[1].upper())
-        cell = cell[: m.start()]
-    return cell.strip(), tags
+    tail = TAGS.search(cell)
+    name = cell[: tail.start()] if tail else cell
+    return name.strip(), {c.upper() for c in tail[0] if c.isalnum()} if tail else set()
 
 
 def moment(c: Column) -> Column:
-    """Date and time, date only (midnight) or unpadded parts, as a timestamp without zone; null if none fits."""
+    """Date and time, date only (midnight) or time only (of 1970-01-01), padded or not, as a timestamp without zone; null if none fits."""
     t = F.trim(c)
+    t = F.when(t.rlike(r"^\d{1,2}:"), F.concat(F.lit("1970-01-01 "), t)).otherwise(t)
     forms = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d")
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]).cast("timestamp_ntz")
 
@@ -34,7 +33,7 @@ def typed(c: Column, kind: str) -> Column:
         return F.trim(c).try_cast("bigint")
     if kind == "double":
         return F.trim(c).try_cast("double")
-    return moment(c) if kind == "timestamp" else c
+    return moment(c) if kind == "timestamp" else F.coalesce(c, F.lit(""))  # the reader gives null for an empty cell
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +52,9 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     checks = []
     for i, c in enumerate(names):
         some = F.when(filled(c), F.col(f"`{c}`"))
-        checks += [F.count(some).alias(f"n{i}")] + [F.coalesce(F.bool_and(some.rlike(p)), F.lit(True)).alias(f"{k}{i}") for k, p in (("i", INTEGER), ("f", FLOAT), ("d", MOMENT))]
+        checks += [F.count(some).alias(f"n{i}")] + [F.coalesce(F.bool_and(some.rlike(p)), F.lit(True)).alias(f"{k}{i}") for k, p in (("f", FLOAT), ("d", MOMENT))]
+        # Nineteen digits may or may not fit 64 bits, so the cast decides.
+        checks.append(F.coalesce(F.bool_and(some.rlike(WHOLE) & F.trim(some).try_cast("bigint").isNotNull()), F.lit(True)).alias(f"i{i}"))
     seen = raw.agg(*checks).first() if names else None
     out = []
     for i, (name, tags) in enumerate(heads):
@@ -80,15 +81,27 @@ def cell(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def shown(df: DataFrame) -> DataFrame:
+    """Every column as the text that the sink prints."""
+    return df.select(*[cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def write_parts(df: DataFrame, path: str) -> None:
+    """Writes a result as a folder of CSV files, each with the header: every task writes its own rows, to any file
+    system, by the same rules as write()."""
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    shown(df).write.options(**options).csv(path)
+
+
 def write(df: DataFrame, path: str) -> None:
-    """Writes a result as one CSV file with a header and LF endings; fields are quoted only where they must be.
+    """Writes a result as one CSV file on the driver, with a header and LF endings; fields are quoted only where they must be.
 
-    Rows stream to the driver partition by partition, so only one partition is held at a time."""
+    Rows stream to the driver partition by partition, so only one partition is held at a time; one process writes them
+    all, so results of many gigabytes belong in write_parts()."""
     import csv
 
-    shown = df.select(*[cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
     with open(path, "w", newline="", encoding="utf-8") as out:
         w = csv.writer(out, lineterminator="\n")
         w.writerow(df.columns)
-        for row in shown.toLocalIterator():
+        for row in shown(df).toLocalIterator():
             w.writerow(row)

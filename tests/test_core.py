@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import queries
-from tabulon.errors import EngineError, NoSuchColumnError, NoSuchTableError, TableSizeMismatch, UnsupportedOperationError
+from tabulon.errors import DuplicateTableError, EngineError, NoSuchColumnError, NoSuchTableError, TableSizeMismatch, UnsupportedLiteralError, UnsupportedOperationError, UnsupportedOperatorError
 from tabulon.functions import semantics as S
 from tabulon.operators import relational as R
-from tabulon.plans.engine import Engine, run_query_file
+from tabulon.plans.dialect import rewritten, tokens
+from tabulon.plans.engine import Engine, run_query_file, select
 from tabulon.sources import csv
 
 DATA = "/root/testdata/sf0.001"
@@ -89,3 +90,96 @@ def test_null_matching_and_null_sort(spark):
     b = spark.createDataFrame([(-5,), (None,), (5,)], "x long")
     assert [r.x for r in R.sort(b, "x", null_as_zero=True).collect()] == [-5, None, 5]
     assert b.where(S.ne(F.col("x"), 5, "bigint")).count() == 2
+
+
+def test_cells_of_times_and_long_integers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("at (D),n,m,Name (x) (T)\n9:15:00,1234567890123456789,99999999999999999999,a\n2021-3-4,-9223372036854775808,1,b\nabc,1,2,\n")
+    df = csv.scan(spark, str(tmp_path / "t.csv"))
+    assert df.dtypes == [("at", "timestamp_ntz"), ("n", "bigint"), ("m", "double"), ("Name", "string")]
+    rows = df.collect()
+    assert [str(r["at"]) for r in rows] == ["1970-01-01 09:15:00", "2021-03-04 00:00:00", "None"]
+    assert [r["n"] for r in rows] == [1234567890123456789, -9223372036854775808, 1] and [r["Name"] for r in rows] == ["a", "b", ""]
+
+
+def test_ragged_rows_and_repeated_names_are_errors(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(Exception):
+        csv.scan(spark, str(tmp_path / "r.csv")).collect()
+    (tmp_path / "d.csv").write_text("a (N),A (T)\n1,2\n")
+    with pytest.raises(ValueError):
+        csv.scan(spark, str(tmp_path / "d.csv"))
+
+
+def test_sink_quotes_and_parts_agree(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c', 0.5, None), (2, " plain ", -2.0, "x")], "k long, s string, v double, n string").coalesce(1)
+    csv.write(df, str(tmp_path / "one.csv"))
+    csv.write_parts(df, f"file://{tmp_path}/parts")
+    (part,) = (tmp_path / "parts").glob("part-*")
+    want = 'k,s,v,n\n1,"a ""b"", c",0.500000,\n2, plain ,-2.000000,x\n'
+    assert (tmp_path / "one.csv").read_text() == part.read_text() == want
+
+
+COLUMNS = {"t": {"x": "bigint", "y": "double", "s": "string", "d": "timestamp_ntz"}, "tgt": {"x": "bigint"}}
+
+
+@pytest.mark.parametrize("text, error", [
+    ("WITH a AS (SELECT 1 AS x) INSERT INTO tgt SELECT * FROM a", UnsupportedOperationError),
+    ("SELECT x FROM t WHERE d > 5", UnsupportedOperationError),
+    ("SELECT SUM(d) FROM t", UnsupportedOperationError),
+    ("SELECT SUM(x) OVER (ORDER BY y GROUPS 2 PRECEDING) AS n FROM t", UnsupportedOperationError),
+    ("SELECT x FROM t WHERE x = 'abc'", EngineError),
+    ("SELECT x FROM t WHERE d > 'hello'", EngineError),
+    ("SELECT x FROM t WHERE s = x", EngineError),
+    ("SELECT x FROM t WHERE x", UnsupportedLiteralError),
+    ("SELECT x FROM t WHERE x = ?", UnsupportedLiteralError),
+    ("SELECT x ^ 2 FROM t", UnsupportedOperatorError),
+    ("SELECT x FROM t WHERE s = 'a' * 'b'", UnsupportedOperatorError),
+    ("SELECT x FROM t WHERE x > ALL (SELECT x FROM tgt)", UnsupportedOperatorError),
+    ("SELECT x FROM t WHERE", EngineError),
+    ("SELECT x FROM t GROUP x", EngineError),
+    ("DROP TABLE t", UnsupportedOperationError),
+])
+def test_refused_statements(text, error):
+    with pytest.raises(error) as e:
+        rewritten(tokens(text), COLUMNS)
+    assert type(e.value) is error
+
+
+@pytest.mark.parametrize("text, want", [
+    ("SELECT x FROM t WHERE NOT x BETWEEN 1 AND 5", "SELECT x FROM t WHERE (NOT coalesce((x BETWEEN 1 AND 5), FALSE))"),
+    ("SELECT TOP 3 x FROM t UNION SELECT x FROM tgt", "(SELECT x FROM t LIMIT 3) UNION SELECT x FROM tgt"),
+    ("SELECT x FROM t WHERE x = 2.9", "SELECT x FROM t WHERE (x = CAST(2.9 AS BIGINT))"),
+    ("SELECT x FROM t a WHERE a.x = (SELECT y FROM t)", "SELECT x FROM t AS a WHERE (a.x = (SELECT y FROM t LIMIT 1))"),
+    ("SELECT SUM(x) FROM t", "SELECT coalesce(SUM(x), 0) AS x FROM t"),
+    ("SELECT x FROM other.t FOR UPDATE OF t NOWAIT", "SELECT x FROM t"),
+    ("SELECT 'it''s' AS q, \"x\" FROM t -- end", "SELECT 'it\\'s' AS q, `x` FROM t"),
+])
+def test_rewritten_text(text, want):
+    assert rewritten(tokens(text), COLUMNS) == want
+
+
+def test_commands_never_run(spark):
+    for text in ("CREATE TABLE zz AS SELECT 1 AS a", "WITH a AS (SELECT 1 AS x) INSERT INTO tgt SELECT * FROM a", "SET a.b = 1", "DROP VIEW IF EXISTS zz"):
+        with pytest.raises(UnsupportedOperationError):
+            select(spark, text)
+
+
+def test_prompt_commands(spark, shop, monkeypatch):
+    from tabulon import cli
+
+    e = Engine(spark)
+    try:
+        assert cli.command(e, f"load {shop}/Staff.csv Crew") == "loaded Crew"
+        with pytest.raises(DuplicateTableError):
+            cli.command(e, f"load {shop}/Staff.csv Crew")
+        assert "Pay" in cli.command(e, "details Crew") and "Ann" in cli.command(e, "show Crew 0 1")
+        assert "Spark decides" in cli.command(e, "cfg mTE 5") and cli.command(e, "dummy") == "ok"
+        monkeypatch.setattr("sys.stdin", iter(["SELECT Name", "FROM Crew WHERE Pay > 90", ".", "never read"]))
+        assert "Ann" in cli.command(e, "editor")
+        assert "result_0" in e.tables and cli.command(e, f"save result_0 {shop}/out.csv") and (shop / "out.csv").read_text().startswith("Name\n")
+        assert cli.command(e, "remove Crew") == "removed Crew"
+        with pytest.raises(NoSuchTableError):
+            cli.command(e, "remove Crew")
+    finally:
+        for t in list(e.tables):
+            e.remove(t)
