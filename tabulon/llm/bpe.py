@@ -14,12 +14,12 @@ and text columns are read, so other columns' names cannot clash.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table, worker_state
+from .shared import groups_of_text, small_batches, table, worker_state
 
 #: Fixed value: characters that the pattern's \s stands for (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -176,21 +176,6 @@ def laid_out(values: list[bytes], codes, ends, width: int) -> Iterator[bytes]:
     return (out[i:j].tobytes() for i, j in zip(bounds, bounds[1:]))
 
 
-def groups_of_text(batches: Iterable, column: int, most: int = 4 << 20):
-    """Slices of Arrow batches with about most bytes of text each (a longer text comes alone)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    for b in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            before = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: str = "digest") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every text; with keep="digest" the SHA-256 of both instead."""
     small_batches(docs.sparkSession)

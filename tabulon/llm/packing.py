@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import groups_of_text
-from .shared import partitions, small_batches, stored, table, worker_state
+from .shared import groups_of_text, partitions, small_batches, stored, table, worker_state
 
 DIMENSIONS, BITS, HASHED = 4, 10, 256
 

@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import groups_of_text
 from .labelled import remainder, sample
-from .shared import small_batches, table
+from .shared import groups_of_text, small_batches, table
 
 #: Hashed dimensions for words and for shapes, latent dimensions, neighbours.
 WORDS, SHAPES, LATENT, NEAREST = 1024, 512, 64, 15

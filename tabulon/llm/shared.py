@@ -2,14 +2,16 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import sys
-import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, scratch
+
 #: Fixed value: what separates words (ASCII white space); bytes.split() cuts at the same set.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -20,15 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folders() -> list[list[str]]:
+    """Folders made and not yet deleted: those of the session first, then of each open temporaries()."""
+    return sys.__dict__.setdefault("_tabulon_folders", [[]])
+
+
+def _forget(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        try:
+            if path.startswith("table:"):
+                spark.sql(f"drop table if exists {path[6:]}")
+            else:
+                remove(spark, path)
+        except Exception:  # the session or its file system may be gone; nothing depends on this
+            pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one that goes at exit."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(sys, "_tabulon_scratch", None)
-        if not base:
-            base = sys._tabulon_scratch = tempfile.mkdtemp(prefix="tabulon-")
-            atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/tabulon/{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir (see scratch()), deleted with the enclosing temporaries() or at exit."""
+    if not getattr(sys, "_tabulon_at_exit", False):
+        sys._tabulon_at_exit = True
+        atexit.register(lambda: _forget(SparkSession.getActiveSession() or spark, [p for scope in _folders() for p in scope]))
+    path = scratch(spark)
+    _folders()[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporaries(spark: SparkSession):
+    """Deletes, at its end, the folders and tables that shared_dir() and bucketed() made inside.  It gives a function
+    that stores a frame so that it outlives them."""
+    scopes = _folders()
+    scopes.append([])
+    mine = scopes[-1]
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        scopes[0].append(mine.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(mine)
+        _forget(spark, mine)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -42,10 +79,12 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 def bucketed(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of df whose key wanted has, written to the shared folder in buckets of the key: one shuffle now, none
     when a join on the key reads them.  An inner join, as Spark moves a semi-join below the shuffle and, where it
-    can't broadcast, shuffles df twice.  The table keeps a name of its own in the session's catalog."""
+    can't broadcast, shuffles df twice.  The table keeps a name of its own in the session's catalog until the
+    enclosing temporaries() end."""
     spark, n, name = df.sparkSession, partitions(df.sparkSession), f"tabulon_{uuid.uuid4().hex}"
     dealt = df.repartition(n, key).join(wanted.select(key).distinct(), key)
     dealt.write.bucketBy(n, key).option("path", shared_dir(spark)).option("compression", "zstd").saveAsTable(name)
+    _folders()[-1].append(f"table:{name}")
     return spark.table(name)
 
 
@@ -72,7 +111,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches to Python carry few rows, so that long texts fit in memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Arrow batches to Python carry at most rows rows and about size bytes, so that long texts fit in memory.  The
+    setting is read when a query runs, so it stays in the session; it is only ever lowered."""
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < bytes_of(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def groups_of_text(batches: Iterable, column: int, most: int = 4 << 20, rows: int = 1000):
+    """Slices of Arrow batches with about most bytes of text and at most rows rows each (a longer text comes alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+            end = min(end, at + rows)
+            yield b.slice(at, end - at)
+            at = end

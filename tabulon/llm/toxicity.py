@@ -15,9 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import groups_of_text
 from .labelled import remainder, sample
-from .shared import small_batches, stored, table
+from .shared import groups_of_text, small_batches, stored, table
 
 #: Features kept for voters and classifier; voters per family.
 FEATURES, SPLIT = 3000, 4
