@@ -7,13 +7,14 @@ windows are counted exactly (words are numbered, pairs of numbers renumbered up
 sorted) and each gets the least document id that holds it.  A document's word goes if a window over
 it also starts in a document with a smaller id.
 
-Documents are first frozen in blocks (a table in the shared folder).  A block sends each distinct
-super-k-mer once, with the least and largest id that hold it there, and gets back only windows that
-change something; so copies and common passages cost one string a block, however many
-documents hold them.  A bucket skips super-k-mers whose minimiser no other one has.
-
-Defined cases: a null or empty text has no words; fewer than k words make no window; a null id counts
-as larger than all others; rows with the same id never remove each other's words; repeated windows
+Documents are first frozen in blocks (a table in the shared folder).  A block then asks the buckets which of its
+minimisers any other document has; equal windows have equal minimisers, so the super-k-mers of the others need not
+travel.  It sends each distinct remaining super-k-mer once, with the least and largest id that hold it there, and gets
+back only windows that change something; so copies and common passages cost one string a block, however many
+documents hold them.
+
+Defined cases: a null or empty text has no words; fewer than k words make no window; ids are integers (anything else
+is a TypeError); a null id counts as larger than all others, like 2^63 - 1; rows with the same id never remove each other's words; repeated windows
 inside one document stay; an empty table gives an empty result; all columns of the input are kept
 (one named as an output count is replaced by it); texts of any length are handled whole.
 """
@@ -23,128 +24,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import groups_of_text
-from .shared import partitions, small_batches, stored, table
+from .shared import groups_of_text, partitions, small_batches, stored, table
+from .words import Words, mixed
 
 LAST = (1 << 63) - 1
 BLOCK_BYTES = 4 << 20
 
 
-def super_kmers(texts: list, ids, k: int, m: int, buckets: int):
-    """Of a block: the words (flat), each document's first word, and the runs of windows that share a minimiser as
-    arrays (document, first word, number of windows, minimiser, bucket)."""
+def super_kmers(column, k: int, m: int, buckets: int):
+    """Of a block of texts: its Words, and the runs of windows that share a minimiser as arrays (document, first word,
+    number of windows, key); a key is the minimiser's bucket and 32 bits of its hash."""
     import numpy as np
-    import pandas as pd
-    import xxhash
 
-    cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    lengths = np.array([len(x) for x in cut], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    words = [w for x in cut for w in x]
+    w = Words(column)
+    n = len(w.hash)
     none = np.zeros(0, np.int64)
-    if len(words) < k:
-        return words, first, (none, none, none, none.astype(np.uint64), none)
-    flat = np.empty(len(words), object)
-    flat[:] = words
-    codes, unique = pd.factorize(flat)
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in unique), np.uint64, len(unique))[codes]
-    n = len(words)
-    x = np.zeros(n - m + 1, np.uint64)
-    for j in range(m):
-        x = (x ^ h[j : n - m + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    width, least, have = k - m + 1, x, 1
+    row = np.repeat(np.arange(len(column)), np.diff(w.first))
+    at = np.flatnonzero(row[: n - k + 1] == row[k - 1 :]) if n >= k else none
+    if not len(at):
+        return w, (none, none, none, none.astype(np.uint64))
+    least, width, have = w.runs(m), k - m + 1, 1
     while have < width:  # least over width neighbours, by doubling
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.nonzero(doc[: n - k + 1] == doc[k - 1 :])[0]
-    if not len(at):
-        return words, first, (none, none, none, none.astype(np.uint64), none)
     value = least[at]
     new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
-    starts = np.nonzero(new)[0]
-    count = np.diff(np.append(starts, len(at)))
-    value = value[starts]
-    bucket = ((value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(buckets)
-    return words, first, (doc[at[starts]], at[starts], count, value, bucket.astype(np.int64))
+    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
+    starts = np.flatnonzero(new)
+    value = mixed(value[starts])  # least hashes are small; mixed again they fill the buckets evenly
+    bucket = ((value >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    key = (bucket << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF))
+    return w, (row[at[starts]], at[starts], np.diff(np.append(starts, len(at))), key)
 
 
-def packed(words: list, runs, ids, k: int):
-    """Distinct packed strings by bucket: ({bucket: [strings, least ids, largest ids, minimisers]}, index of each run's string)."""
+def asked(runs, ids):
+    """Distinct keys of a block in order, and whether two ids or more have each there."""
     import numpy as np
 
-    doc, start, count, value, bucket = runs
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    a = (ends[start] - np.fromiter((len(words[i]) for i in start.tolist()), np.int64, len(start)) - 1).tolist()
-    b = (ends[start + count + k - 2] - 1).tolist()
+    order = np.argsort(runs[3], kind="stable")
+    key, mine = runs[3][order], ids[runs[0]][order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if not len(heads):
+        return key, np.zeros(0, bool)
+    return key[heads], np.minimum.reduceat(mine, heads) != np.maximum.reduceat(mine, heads)
+
+
+def by_bucket(key):
+    """(bucket, from, to) of the stretches of sorted keys."""
+    import numpy as np
+
+    bucket = (key >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return zip(bucket[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist())
+
+
+def packed(w: Words, runs, ids, k: int):
+    """Distinct packed strings by bucket, {bucket: ([strings], [least ids], [largest ids])}, and each run's bucket and place there."""
+    line, start, end = w.spaced()
+    doc, first, count, key = runs
     out: dict = {}
-    index, seen = [], {}
-    key = ids[doc].tolist()
-    for i, (u, v, g, d, x) in enumerate(zip(a, b, bucket.tolist(), key, value.tolist())):
-        s = joined[u:v]
-        rows = out.get(g)
-        if rows is None:
-            rows = out[g] = ([], [], [], [])
-        e = seen.get(s)
-        if e is None:
-            e = seen[s] = len(rows[0])
-            rows[0].append(s)
-            rows[1].append(d)
-            rows[2].append(d)
-            rows[3].append(x)
+    places, seen = [], {}
+    for a, z, g, d in zip(start[first].tolist(), end[first + count + k - 2].tolist(), (key >> 32).tolist(), ids[doc].tolist()):
+        s = line[a:z]
+        place = seen.get(s)
+        if place is None:
+            rows = out.get(g)
+            if rows is None:
+                rows = out[g] = ([], [], [])
+            place = seen[s] = g, len(rows[0])
+            for values, x in zip(rows, (s, d, d)):
+                values.append(x)
         else:
+            rows, e = out[g], place[1]
             if d < rows[1][e]:
                 rows[1][e] = d
-            if d > rows[2][e]:
+            elif d > rows[2][e]:
                 rows[2][e] = d
-        index.append(e)
-    return out, index
+        places.append(place)
+    return out, places
 
 
 def shared_windows(members: list, k: int):
-    """members: (strings, least ids, largest ids, minimisers) of one bucket's blocks.  For each, arrays (string, offset,
-    least id) of the windows that a smaller id than the string's largest holds."""
+    """members: (strings joined by line feeds, least ids, largest ids) of one bucket's blocks.  For each, arrays (string,
+    offset, least id) of the windows that a smaller id than the string's largest holds."""
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
-    sizes = [len(x[0]) for x in members]
-    low, high, value = (np.concatenate([np.asarray(x[i], t) for x in members]) for i, t in ((1, np.int64), (2, np.int64), (3, np.uint64)))
+    sizes = [len(x[1]) for x in members]
+    low, high = (np.concatenate([np.asarray(x[i], np.int64) for x in members]) for i in (1, 2))
     owner = np.repeat(np.arange(len(members)), sizes)
     inside = np.concatenate([np.arange(n) for n in sizes])
-    order = np.argsort(value, kind="stable")
-    same = value[order][1:] == value[order][:-1]
-    near = np.zeros(len(value), bool)
-    near[order[1:]] |= same
-    near[order[:-1]] |= same
-    chosen = np.nonzero(near | (low < high))[0]
-    if not len(chosen):
-        return {}
-    strings = [s for x in members for s in x[0]]
-    cut = [strings[i].split() for i in chosen.tolist()]
-    lengths = np.array([len(x) for x in cut])
-    flat = np.empty(lengths.sum(), object)
-    flat[:] = [w for x in cut for w in x]
-    codes = [None, pd.factorize(flat)[0].astype(np.int64)]
-    have = 1
+    whole = b"\n".join(x[0] for x in members)
+    cuts = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+    offs = np.concatenate([[0], cuts + 1, [len(whole)]]).astype(np.int64)
+    strings = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(whole)])
+    w = Words(strings)
+    codes, have = w.numbered()[0].astype(np.int64), 1
     while have < k:  # numbers of runs of 1, 2, 4 ... k words; equal numbers, equal words
         step = min(have, k - have)
-        c = codes[1]
-        codes[1] = pd.factorize(c[: len(c) - step] * (int(c.max()) + 1) + c[step:])[0].astype(np.int64)
+        codes = pd.factorize(codes[: len(codes) - step] * (int(codes.max()) + 1) + codes[step:])[0].astype(np.int64)
         have += step
-    row = np.repeat(np.arange(len(chosen)), lengths)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.nonzero(place + k <= np.repeat(lengths, lengths))[0]
-    window, row, place = codes[1][at], row[at], place[at]
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(w.first))
+    at = np.flatnonzero(row[: len(codes)] == row[k - 1 :])
+    window, row, place = codes[at], row[at], at - w.first[row[at]]
     order = np.argsort(window, kind="stable")
-    heads = np.nonzero(np.append(True, window[order][1:] != window[order][:-1]))[0]
+    heads = np.flatnonzero(np.append(True, window[order][1:] != window[order][:-1]))
     least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(low[chosen[row[order]]], heads), np.diff(np.append(heads, len(order))))
-    hit = np.nonzero(least < high[chosen[row]])[0]
-    who = chosen[row[hit]]
+    least[order] = np.repeat(np.minimum.reduceat(low[row[order]], heads), np.diff(np.append(heads, len(order))))
+    hit = np.flatnonzero(least < high[row])
+    who = row[hit]
     out = {}
     for o in np.unique(owner[who]).tolist():
         mine = owner[who] == o
@@ -170,15 +160,17 @@ def arrays_of(data: bytes, count: int):
     return [np.cumsum(np.ascontiguousarray(x.reshape(8, n).T).view("<i8").ravel()) for x in raw.reshape(count, 8 * n)] if n else [np.zeros(0, np.int64)] * count
 
 
-def without_repeats(docs: DataFrame, k: int = 13, m: int = 3, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
-    """Every row of docs with text replaced by its kept words joined by one space where any word went, and the
-    two counts.  Rows and other columns are kept as they are; input columns of the counts' names give way to them."""
+def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_words", "n_removed"), spaced: bool = False) -> DataFrame:
+    """Every row of docs with text replaced by its kept words joined by one space where any word went (with spaced:
+    everywhere but in nulls), and the two counts.  Rows and other columns are kept as they are; input columns of the
+    counts' names give way to them."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in counts}])
     names, at_key, at_text = docs.columns, docs.columns.index(key), docs.columns.index(text)
-    shuffles = partitions(spark)
-    buckets = 4 * shuffles
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is {docs.schema[key].dataType.simpleString()}; integers are needed")
+    buckets = partitions(spark)
 
     def freeze(batches):
         import pyarrow as pa
@@ -186,7 +178,7 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 3, key: str = "doc_id
         from pyspark import TaskContext
 
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-        press = zstandard.ZstdCompressor(6)
+        press = zstandard.ZstdCompressor(3)
 
         def block():
             nonlocal n, held, size
@@ -206,42 +198,103 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 3, key: str = "doc_id
             yield block()
 
     def opened(data: bytes):
+        """A block's rows, ids, Words and runs."""
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        whole = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
-        ids = np.array([LAST if x is None else x for x in whole.column(at_key).to_pylist()], np.int64)
-        return whole, ids
+        whole = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all().combine_chunks()
+        column = whole.column(at_text).chunk(0) if whole.num_rows else pa.array([], pa.string())
+        ids = whole.column(at_key).cast(pa.int64()).fill_null(LAST).to_numpy()
+        return whole, np.asarray(ids), *super_kmers(column, k, m, buckets)
 
-    def send(batches):
+    def ask(batches):
+        import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        press = zstandard.ZstdCompressor(9)
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                whole, ids = opened(data)
-                words, _, runs = super_kmers(whole.column(at_text).to_pylist(), ids, k, m, buckets)
-                if len(runs[0]):
-                    rows, _ = packed(words, runs, ids, k)
-                    where = sorted(rows)
-                    strings = [press.compress(b"\n".join(rows[g][0])) for g in where]
-                    rest = [numbers(rows[g][1], rows[g][2], [x - (1 << 63) for x in rows[g][3]]) for g in where]
-                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([number] * len(where), pa.int64()), pa.array(strings, pa.binary()), pa.array(rest, pa.binary())], ["bucket", "block", "strings", "numbers"])
+                _, ids, _, runs = opened(data)
+                found, several = asked(runs, ids)
+                found = [(g, numbers((found[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64), several[i:j])) for g, i, j in by_bucket(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block", "data"])
+
+    def answer(batches):
+        """Bits, for each block's keys of a bucket, of those that another block or several ids of the block have."""
+        import numpy as np
+        import pyarrow as pa
+
+        def settle(bucket, held):
+            parts = [arrays_of(data, 2) for _, data in held]
+            sizes = [len(x) for x, _ in parts]
+            key, several = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            met = several.astype(bool)
+            met[order[1:]] |= same
+            met[order[:-1]] |= same
+            bits = [np.packbits(x).tobytes() if x.any() else None for x in np.split(met, np.cumsum(sizes)[:-1])]
+            some = [i for i, x in enumerate(bits) if x is not None]
+            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in some], pa.int64()), pa.array([bucket] * len(some), pa.int32()), pa.array([bits[i] for i in some], pa.binary())], ["block", "bucket", "data"])
+
+        here, held = None, []
+        for b in batches:
+            for bucket, block, data in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != here:
+                    if held:
+                        yield settle(here, held)
+                    here, held = bucket, []
+                held.append((block, data))
+        if held:
+            yield settle(here, held)
+
+    def met(runs, ids, bits):
+        """The runs whose keys the answers (bucket, bits) name."""
+        import numpy as np
+
+        found, _ = asked(runs, ids)
+        on, answers = np.zeros(len(found), bool), dict(bits)
+        for g, i, j in by_bucket(found):
+            if g in answers:
+                on[i:j] = np.unpackbits(np.frombuffer(answers[g], np.uint8), count=j - i).astype(bool)
+        some = np.flatnonzero(on[np.searchsorted(found, runs[3])]) if len(found) else np.zeros(0, np.int64)
+        return tuple(x[some] for x in runs)
+
+    def with_rows(batches):
+        """(block, its data, its rows): a block's own row comes before the others."""
+        data, rows, here = None, [], None
+        for b in batches:
+            for block, bucket, payload in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket == -1:
+                    if data is not None:
+                        yield here, data, rows
+                    data, rows, here = payload, [], block
+                elif block == here:
+                    rows.append((bucket, payload))
+        if data is not None:
+            yield here, data, rows
+
+    def send(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(3)
+        for number, data, bits in with_rows(batches):
+            if not bits:
+                continue
+            _, ids, w, runs = opened(data)
+            rows, _ = packed(w, met(runs, ids, bits), ids, k)
+            where = sorted(rows)
+            strings = [press.compress(b"\n".join(rows[g][0])) for g in where]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([number] * len(where), pa.int64()), pa.array(strings, pa.binary()), pa.array([numbers(*rows[g][1:]) for g in where], pa.binary())], ["bucket", "block", "strings", "numbers"])
 
     def count(batches):
         import pyarrow as pa
         import zstandard
 
         def settle(bucket, held):
-            import numpy as np
-
-            opener, members = zstandard.ZstdDecompressor(), []
-            for _, strings, rest in held:
-                low, high, value = arrays_of(rest, 3)
-                members.append((opener.decompress(strings).split(b"\n"), low, high, value.astype(np.uint64) ^ np.uint64(1 << 63)))
-            found = shared_windows(members, k)
+            opener = zstandard.ZstdDecompressor()
+            found = shared_windows([(opener.decompress(strings), *arrays_of(rest, 2)) for _, strings, rest in held], k)
             return pa.RecordBatch.from_arrays([pa.array([held[o][0] for o in found], pa.int64()), pa.array([bucket] * len(found), pa.int32()), pa.array([numbers(*x) for x in found.values()], pa.binary())], ["block", "bucket", "data"])
 
         here, held = None, []
@@ -255,69 +308,70 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 3, key: str = "doc_id
         if held:
             yield settle(here, held)
 
+    def gone(w, runs, ids, hits):
+        """Whether each word goes, given the hits (bucket, windows) and bits (-2 - bucket, bits) of its block."""
+        import numpy as np
+
+        edge = np.zeros(len(w.hash) + 1, np.int64)
+        runs = met(runs, ids, [(-2 - g, x) for g, x in hits if g < 0])
+        _, places = packed(w, runs, ids, k)
+        known: dict = {}
+        for g, found in hits:
+            if g >= 0:
+                string, offset, least = arrays_of(found, 3)
+                order = np.argsort(string, kind="stable")
+                string, offset, least = string[order], offset[order], least[order]
+                heads = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
+                for e, a, z in zip(string[heads].tolist(), heads.tolist(), np.append(heads[1:], len(string)).tolist()):
+                    known[g, e] = offset[a:z], least[a:z]
+        for i, place in enumerate(places):
+            got = known.get(place)
+            if got is not None:
+                at = runs[1][i] + got[0][got[1] < ids[runs[0][i]]]
+                edge[at] += 1  # windows of one run begin at different words
+                edge[at + k] -= 1
+        return np.cumsum(edge)[:-1] > 0
+
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
-        def settle(data, hits):
-            whole, ids = opened(data)
+        for _, data, hits in with_rows(batches):
+            whole, ids, w, runs = opened(data)
+            away = gone(w, runs, ids, hits) if any(g >= 0 for g, _ in hits) else np.zeros(len(w.hash), bool)
+            removed = np.diff(np.append(0, np.cumsum(away))[w.first])
             texts = whole.column(at_text).to_pylist()
-            words, first, runs = super_kmers(texts, ids, k, m, buckets)
-            edge = np.zeros(len(words) + 1, np.int64)
-            if hits:
-                _, index = packed(words, runs, ids, k)
-                known = {}
-                for bucket, found in hits:
-                    string, offset, least = arrays_of(found, 3)
-                    order = np.argsort(string, kind="stable")
-                    string, offset, least = string[order], offset[order], least[order]
-                    heads = np.nonzero(np.append(True, string[1:] != string[:-1]))[0]
-                    for e, a, z in zip(string[heads].tolist(), heads.tolist(), np.append(heads[1:], len(string)).tolist()):
-                        known[bucket, e] = offset[a:z], least[a:z]
-                for d, start, bucket, e in zip(ids[runs[0]].tolist(), runs[1].tolist(), runs[4].tolist(), index):
-                    got = known.get((bucket, e))
-                    if got is not None:
-                        gone = start + got[0][got[1] < d]
-                        np.add.at(edge, gone, 1)
-                        np.add.at(edge, gone + k, -1)
-            keep = np.cumsum(edge)[:-1] == 0
-            n_words, removed, out = np.diff(first), [], []
-            for i, t in enumerate(texts):
-                mine = keep[first[i] : first[i + 1]]
-                removed.append(int(len(mine) - mine.sum()))
-                out.append(t if not removed[-1] else b" ".join([words[first[i] + j] for j in np.nonzero(mine)[0]]).decode("utf-8", "surrogatepass"))
-            columns = [c.combine_chunks() for c in whole.columns]
-            columns[at_text] = pa.array(out, whole.schema.field(at_text).type)
-            return pa.Table.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts]).to_batches()
-
-        data, hits, here = None, [], None
-        for b in batches:
-            for block, bucket, payload in zip(*(c.to_pylist() for c in b.columns)):
-                if bucket == -1:  # a block's own row comes before its hits
-                    if data is not None:
-                        yield from settle(data, hits)
-                    data, hits, here = payload, [], block
-                elif block == here:
-                    hits.append((bucket, payload))
-        if data is not None:
-            yield from settle(data, hits)
+            change = np.flatnonzero((removed > 0) | (spaced and np.array([t is not None for t in texts], bool)))
+            if len(change):
+                line, start, end = w.spaced()
+                step = np.flatnonzero(np.diff(np.concatenate([[True], away, [True]]).astype(np.int8)))
+                edges = np.union1d(step, w.first)  # stretches of one kind inside one text
+                for i in change.tolist():
+                    some = edges[np.searchsorted(edges, w.first[i]) : np.searchsorted(edges, w.first[i + 1]) + 1]
+                    texts[i] = b" ".join([line[start[a] : end[z - 1]] for a, z in zip(some[:-1].tolist(), some[1:].tolist()) if not away[a]]).decode()
+            columns = list(whole.columns)
+            columns[at_text] = pa.array(texts, whole.schema.field(at_text).type)
+            yield from pa.Table.from_arrays([*columns, pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64())], [*names, *counts]).to_batches(500)
+
+    def to_buckets(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+
+    def to_blocks(rows: DataFrame) -> DataFrame:
+        both = blocks.select("block", F.lit(-1).alias("bucket"), "data").unionByName(rows)
+        return both.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("bucket") != -1, "bucket")
 
     blocks = stored(docs.mapInArrow(freeze, "block long, data binary"), "uncompressed")
-    sent = blocks.mapInArrow(send, "bucket int, block long, strings binary, numbers binary")
-    ordered = sent.repartition(shuffles, "bucket").sortWithinPartitions("bucket", "block")
-    hits = ordered.mapInArrow(count, "block long, bucket int, data binary")
-    both = blocks.select("block", F.lit(-1).alias("bucket"), "data").unionByName(hits)
+    bits = stored(to_buckets(blocks.mapInArrow(ask, "bucket int, block long, data binary")).mapInArrow(answer, "block long, bucket int, data binary"))
+    sent = to_blocks(bits).mapInArrow(send, "bucket int, block long, strings binary, numbers binary")
+    hits = to_buckets(sent).mapInArrow(count, "block long, bucket int, data binary")
+    again = bits.select("block", (-2 - F.col("bucket")).alias("bucket"), "data")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in counts)])
-    return both.repartition(shuffles, "block").sortWithinPartitions("block", "bucket").mapInArrow(cut, schema)
+    return to_blocks(hits.unionByName(again)).mapInArrow(cut, schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    # The operator leaves a text as it is where nothing goes; the digest is of its words either way.
-    from .shared import words_of
-
-    kept = F.when(F.col("n_removed") == 0, F.array_join(words_of(F.col("text")), " ")).otherwise(F.col("text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), spaced=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
