@@ -1,11 +1,13 @@
 """TIFF files in binary columns: written, walked and decoded page by page.
 
 decoded() walks a file's image directories (either byte order), decodes strips or tiles stored plain
-or with PackBits, LZW or deflate, undoes the horizontal predictor and returns one row per page.
+or with PackBits, LZW or deflate, undoes the horizontal predictor and returns one row per page.  It reads 8- and 16-bit
+samples, interleaved or in separate planes, and bilevel ones (a byte each, 0 or 1); 16-bit samples come out little-endian.
 stored_bytes() writes bytes losslessly as 8-bit samples in such a file.
 
-Defined cases: null or damaged content gives one row with page null and the error's text; a file
-without directories gives no page; repeated rows give repeated pages; directories that point back
+Defined cases: null content, or a file whose directories cannot be walked, gives one row with page null and the error's
+text after the pages before it; a page that cannot be decoded gives a row with its number and the error, and the walk
+goes on; a file without directories gives no page; repeated rows give repeated pages; directories that point back
 end the walk; an empty table gives an empty result; only the named columns are read.
 """
 from __future__ import annotations
@@ -16,8 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import groups_of_text
-from .shared import small_batches, table
+from .shared import groups_of_text, small_batches, table
 
 #: Fixed values of the TIFF 6.0 format: tags, field sizes, compression codes.
 WIDTH, HEIGHT, DEPTH, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -28,30 +29,30 @@ PLAIN, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 def packbits(data: bytes) -> bytes:
     """PackBits coding: runs of three or more as (1 - n, byte), the rest as literals of up to 128."""
-    out, i, n = bytearray(), 0, len(data)
-    literal = bytearray()
-
-    def flush():
-        if literal:
-            out.append(len(literal) - 1)
-            out.extend(literal)
-            literal.clear()
-
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            flush()
-            out += bytes(((257 - (j - i)) & 255, data[i]))
+    import numpy as np
+
+    x = np.frombuffer(data, np.uint8)
+    cuts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+    size = np.diff(cuts)
+    long = np.flatnonzero(size >= 3)
+    out, at = [], 0
+
+    def literals(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(bytes((len(part) - 1,)) + part)
+
+    for start, n in zip(cuts[long].tolist(), size[long].tolist()):
+        literals(start)
+        whole, rest = divmod(n, 128)
+        out.append(bytes((129, data[start])) * whole)
+        at = start + n
+        if rest >= 2:
+            out.append(bytes((257 - rest, data[start])))
         else:
-            for b in data[i:j]:
-                literal.append(b)
-                if len(literal) == 128:
-                    flush()
-        i = j
-    flush()
-    return bytes(out)
+            at -= rest  # a single byte goes with the literals after it
+    literals(len(data))
+    return b"".join(out)
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
@@ -75,40 +76,40 @@ def unpackbits(data: bytes, size: int) -> bytes:
 
 def lzw(data: bytes) -> bytes:
     """TIFF LZW: most significant bit first, 9 to 12 bits, the width grows with entries 511, 1023 and 2047."""
-    book = {bytes((i,)): i for i in range(256)}
-    acc, held, out, width, free = 256, 9, bytearray(), 9, 258
-    w = b""
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc, held = (acc << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append((acc >> held) & 255)
-            acc &= (1 << held) - 1
-
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in book:
-            w += c
+    import numpy as np
+
+    codes, lengths = [256], []  # lengths: codes up to and with each clear code
+    book: dict = {}
+    free, w = 258, -1
+    for c in data:
+        if w < 0:
+            w = c
+            continue
+        key = w << 8 | c
+        known = book.get(key)
+        if known is not None:
+            w = known
             continue
-        put(book[w])
-        book[w + c] = free
+        codes.append(w)
+        book[key] = free
         free += 1
-        if free in (512, 1024, 2048):
-            width += 1
-        elif free == 4094:
-            put(256)
-            book, width, free = {bytes((k,)): k for k in range(256)}, 9, 258
+        if free == 4094:
+            codes.append(256)
+            lengths.append(len(codes))
+            book.clear()
+            free = 258
         w = c
-    if w:
-        put(book[w])
-        free += 1
-        width += free in (512, 1024, 2048)
-    put(257)
-    if held:
-        out.append((acc << (8 - held)) & 255)
-    return bytes(out)
+    if w >= 0:
+        codes.append(w)
+    codes.append(257)
+    # A code's width follows from its place after the clear code: the k-th one is written when k entries exist.
+    starts = np.array([1, *lengths])
+    place = np.arange(len(codes))
+    since = place - starts[np.searchsorted(starts, place, side="right") - 1]
+    width = 9 + (since >= 254).astype(int) + (since >= 766) + (since >= 1790)
+    width[0] = 9
+    bits = np.unpackbits((np.array(codes, np.uint16) << 4).astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, :12]
+    return np.packbits(bits[np.arange(12) >= 12 - width[:, None]]).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
@@ -183,55 +184,73 @@ def directories(blob: bytes):
         at = struct.unpack_from(order + "I", blob, at + 2 + 12 * count)[0]
 
 
-def pixels(blob: bytes, d: dict) -> bytes:
-    """Samples of one directory, row by row, pixel-interleaved; 8-bit samples."""
+def unpacked(data: bytes, how: int, size: int) -> bytes:
+    """size bytes of a strip or tile stored with compression how."""
+    if how == PLAIN:
+        raw = data[:size]
+    elif how in (DEFLATE, OLD_DEFLATE):
+        raw = zlib.decompressobj().decompress(data, size)
+    elif how == LZW:
+        raw = unlzw(data, size)
+    elif how == PACKBITS:
+        raw = unpackbits(data, size)
+    else:
+        raise ValueError(f"unknown compression {how}")
+    if len(raw) != size:
+        raise ValueError("strip or tile too short")
+    return raw
+
+
+def pixels(blob: bytes, d: dict, order: str) -> bytes:
+    """Samples of one directory, row by row, pixel-interleaved: bytes for 1 and 8 bits, two little-endian bytes for 16."""
     import numpy as np
 
     one = lambda tag, other=None: d.get(tag, (other,))[0]
-    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    if not width or not height or set(d.get(DEPTH, (1,))) != {8} or one(PLANAR, 1) != 1:
-        raise ValueError("only 8-bit interleaved samples are read")
+    width, height, samples, depths = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(d.get(DEPTH, (1,)))
+    bits, how, predictor, apart = depths.pop(), one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1) == 2
+    if not width or not height or depths or bits not in (1, 8, 16) or bits == 1 and samples != 1:
+        raise ValueError("only 8- and 16-bit samples and bilevel images are read")
+    if predictor not in (1, 2) or predictor == 2 and bits == 1:
+        raise ValueError(f"unknown predictor {predictor}")
     if width * height * samples > 1 << 31:
         raise ValueError("image too large")
     tiled = TILE_WIDTH in d
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS, height), height))
     places, sizes = (d.get(TILE_AT), d.get(TILE_SIZE)) if tiled else (d.get(STRIP_AT), d.get(STRIP_SIZE))
-    across = -(-width // w)
-    if not w or not h or not places or not sizes or len(places) != len(sizes) or len(places) < across * -(-height // h):
+    if not w or not h:
+        raise ValueError("strips or tiles are missing")
+    across, down = -(-width // w), -(-height // h)
+    planes, inside = (samples, 1) if apart else (1, samples)
+    if not places or not sizes or len(places) != len(sizes) or len(places) < across * down * planes:
         raise ValueError("strips or tiles are missing")
-    image = np.zeros((height, width, samples), np.uint8)
-    for k in range(across * -(-height // h)):
-        data, top, left = blob[places[k] : places[k] + sizes[k]], k // across * h, k % across * w
+    kind = np.dtype(order + "u2") if bits == 16 else np.dtype(np.uint8)
+    image = np.zeros((height, width, samples), "<u2" if bits == 16 else np.uint8)
+    for k in range(across * down * planes):
+        plane, cell = divmod(k, across * down)
+        top, left = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - top)
-        size, how = rows * w * samples, one(COMPRESSION, PLAIN)
-        if how == PLAIN:
-            raw = data[:size]
-        elif how in (DEFLATE, OLD_DEFLATE):
-            raw = zlib.decompressobj().decompress(data, size)
-        elif how == LZW:
-            raw = unlzw(data, size)
-        elif how == PACKBITS:
-            raw = unpackbits(data, size)
+        line = -(-w // 8) if bits == 1 else w * inside * kind.itemsize
+        raw = unpacked(blob[places[k] : places[k] + sizes[k]], how, rows * line)
+        if bits == 1:
+            part = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, :w].reshape(rows, w, 1)
         else:
-            raise ValueError(f"unknown compression {how}")
-        if len(raw) != size:
-            raise ValueError("strip or tile too short")
-        if one(PREDICTOR, 1) == 2:
-            raw = differences(raw, w, samples, undo=True)
-        part = np.frombuffer(raw, np.uint8).reshape(rows, w, samples)[: height - top, : width - left]
-        image[top : top + part.shape[0], left : left + part.shape[1]] = part
+            part = np.frombuffer(raw, kind).reshape(rows, w, inside)
+            if predictor == 2:
+                part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
+        part = part[: height - top, : width - left]
+        image[top : top + part.shape[0], left : left + part.shape[1], plane : plane + inside] = part
     return image.tobytes()
 
 
 def stored_bytes(payload: bytes, width: int = 64) -> bytes:
     """A TIFF file that holds payload (a multiple of width) as one grey page.
 
-    By size only, so that equal bytes give equal files: LZW up to 1 KiB, PackBits up to 2 KiB, then deflate with the
-    horizontal predictor, in strips of 64 KiB, or beyond 256 KiB in 64 x 1024 tiles."""
+    The form follows from a hash of the payload, so equal bytes give equal files, and every form meets payloads of
+    every size: LZW, PackBits, or deflate with the horizontal predictor, each in strips of 64 KiB or in tiles 64 wide and up to 1024 high."""
+    pick = zlib.crc32(payload)
+    how, tiled = (LZW, PACKBITS, DEFLATE, DEFLATE)[pick % 4], pick // 4 % 4 == 0
     height = len(payload) // width
-    how = LZW if len(payload) <= 1024 else PACKBITS if len(payload) <= 2048 else DEFLATE
-    rows = min(height, 1024)
-    tiled = len(payload) > 1 << 18
+    rows = min(-(-height // 16) * 16 if tiled else height, 1024)  # tiles are multiples of 16 high
     parts = []
     for at in range(0, len(payload), rows * width):
         raw = payload[at : at + rows * width]
@@ -254,11 +273,32 @@ def stored_bytes(payload: bytes, width: int = 64) -> bytes:
     return struct.pack("<2sHI", b"II", 42, at) + bytes(body) + struct.pack("<H", len(fields)) + entries + b"\0" * 4 + extra
 
 
+def pages(blob: bytes | None):
+    """(page, directory, pixels, error) of each page of a file; an error of the walk ends it with page and directory None."""
+    page = 0
+    try:
+        if blob is None:
+            raise ValueError("no content")
+        order = "<" if blob[:1] == b"I" else ">"
+        for page, d in enumerate(directories(blob)):
+            try:
+                yield page, d, pixels(blob, d, order), None
+            except (ValueError, TypeError, IndexError, struct.error, zlib.error, MemoryError) as e:
+                yield page, d, None, str(e) or "damaged"
+    except (ValueError, struct.error) as e:
+        yield None, {}, None, str(e) or "damaged"
+
+
 def decoded(files: DataFrame, key: str, content: str) -> DataFrame:
     """One row per page: key, page, width, height, samples, compression, predictor, pixels, error."""
     small_batches(files.sparkSession, 200)
     kind = files.schema[key].dataType.simpleString()
     names = [key, "page", "width", "height", "samples", "compression", "predictor", "pixels", "error"]
+    tags = ((WIDTH, None), (HEIGHT, None), (SAMPLES, 1), (COMPRESSION, PLAIN), (PREDICTOR, 1))
+
+    def number(d: dict, tag: int, other):
+        value = d.get(tag, (other,))[:1] or (None,)
+        return value[0] if isinstance(value[0], int) and value[0] < 1 << 31 else None
 
     def run(batches):
         import pyarrow as pa
@@ -266,14 +306,8 @@ def decoded(files: DataFrame, key: str, content: str) -> DataFrame:
         for b in groups_of_text(batches, 1):
             rows = []
             for k, blob in enumerate(b.column(1).to_pylist()):
-                page = -1
-                try:
-                    if blob is None:
-                        raise ValueError("no content")
-                    for page, d in enumerate(directories(blob)):
-                        rows.append((k, page, d.get(WIDTH, (None,))[0], d.get(HEIGHT, (None,))[0], d.get(SAMPLES, (1,))[0], d.get(COMPRESSION, (1,))[0], d.get(PREDICTOR, (1,))[0], pixels(blob, d), None))
-                except (ValueError, struct.error, zlib.error) as e:
-                    rows.append((k, None, None, None, None, None, None, None, str(e) or "damaged"))
+                for page, d, data, error in pages(blob):
+                    rows.append((k, page, *(number(d, t, other) if page is not None else None for t, other in tags), data, error))
             cols = [*zip(*rows)] or [()] * 9
             types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(x, t) for x, t in zip(cols[1:], types))], names)
