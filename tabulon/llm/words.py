@@ -1,10 +1,12 @@
-"""Words of Arrow text columns by position and hash, without an object for each word.
+"""Words and other pieces of Arrow text columns by position and hash, without an object for each.
 
-A word is a run of bytes other than ASCII white space.  Words of up to 16 bytes are hashed from two
-unaligned 64-bit reads each, longer ones one by one; equal words have equal hashes in every process.
+A word is a run of bytes other than ASCII white space.  Pieces of up to 16 bytes are hashed from two
+unaligned 64-bit reads each, longer ones one by one; equal pieces have equal hashes in every process.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 #: Odd multipliers of the hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -21,58 +23,62 @@ def mixed(x):
     return x
 
 
-class Words:
-    """Words of a text column (nulls: none): data, the bytes of all texts and some padding; start and end of each word
-    in them; first, the number of words before each text and in all; hash of each word."""
+def text_bytes(column):
+    """The bytes of all texts of an Arrow string column (nulls: none) and 16 of padding; where each text starts and the last one ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(column)
+    column = column.fill_null("") if column.null_count else column
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    buffers = column.buffers()
+    offs = np.frombuffer(buffers[1], kind)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(buffers[2], np.uint8)[offs[0] : offs[-1]] if n and buffers[2] is not None else np.zeros(0, np.uint8)
+    data = np.zeros(len(raw) + 16, np.uint8)
+    data[: len(raw)] = raw
+    return data, offs - offs[0]
+
+
+class Pieces:
+    """Pieces of texts: data, the texts' bytes with padding; start and end of each piece there; first, the number of
+    pieces before each text and in all; hash of each piece."""
 
-    def __init__(self, column):
+    def __init__(self, data, start, end, first):
         import numpy as np
-        import pyarrow as pa
         import xxhash
 
-        n = len(column)
-        column = column.fill_null("") if column.null_count else column
-        wide = pa.types.is_large_string(column.type)
-        kinds = column.buffers()
-        offs = np.frombuffer(kinds[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-        raw = np.frombuffer(kinds[2], np.uint8)[offs[0] : offs[-1]] if n and kinds[2] is not None else np.zeros(0, np.uint8)
-        offs = offs - offs[0]
-        data = np.zeros(len(raw) + 16, np.uint8)
-        data[: len(raw)] = raw
-        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[offs] = True
-        begin, stop = solid.copy(), solid.copy()
-        begin[1:] &= edge[1:-1] | ~solid[:-1]
-        stop[:-1] &= edge[1:-1] | ~solid[1:]
-        self.data, self.start, self.end = data, np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        self.first = np.searchsorted(self.start, offs)
-        size = self.end - self.start
-        reads = np.ndarray(len(raw) + 9, "<u8", data, strides=(1,))
-        keep = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
-        h = (reads[self.start] & keep[np.minimum(size, 8)]) + np.uint64(MIX[4]) * size.astype(np.uint64)
+        self.data, self.start, self.end, self.first = data, start, end, first
+        size = end - start
+        h = self.read(0) + np.uint64(MIX[4]) * size.astype(np.uint64)
         h = mixed(h * np.uint64(MIX[0]))
         more = np.flatnonzero(size > 8)
-        h[more] = mixed(h[more] + np.uint64(MIX[5]) * (reads[self.start[more] + 8] & keep[np.minimum(size[more] - 8, 8)]))
+        h[more] = mixed(h[more] + np.uint64(MIX[5]) * self.read(8, more))
         text = data.data
         for k in np.flatnonzero(size > 16).tolist():
-            h[k] = xxhash.xxh3_64_intdigest(text[self.start[k] : self.end[k]])
+            h[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]])
         self.hash = h
 
+    def read(self, skip: int, some=slice(None)):
+        """Up to eight bytes of each piece after the first skip, as numbers."""
+        import numpy as np
+
+        at, left = self.start[some] + skip, self.end[some] - self.start[some] - skip
+        words = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+        keep = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+        return words[np.where(left > 0, at, 0)] & keep[np.clip(left, 0, 8)]
+
     def runs(self, span: int):
-        """Hashes of the runs of span words that begin at each word (the last ones of a text run on into the next text)."""
+        """Hashes of the runs of span pieces (six at most) that begin at each (the last ones of a text run on into the next text)."""
         import numpy as np
 
-        h, n = self.hash, max(0, len(self.hash) - span + 1)
+        n = max(0, len(self.hash) - span + 1)
         x = np.zeros(n, np.uint64)
         for j in range(span):
-            x += mixed(h[j : j + n] * np.uint64(MIX[j % 6])) if j >= 6 else h[j : j + n] * np.uint64(MIX[j % 6])
-            if j % 6 == 5:
-                x = mixed(x)
+            x += self.hash[j : j + n] * np.uint64(MIX[j])
         return mixed(x)
 
     def spaced(self):
-        """The words of all texts joined by one space each, and where each word starts and ends there."""
+        """The pieces of all texts joined by one space each, and where each piece starts and ends there."""
         import numpy as np
 
         size = self.end - self.start
@@ -84,21 +90,70 @@ class Words:
         return line.tobytes(), start, start + size
 
     def numbered(self):
-        """A number for each word; equal numbers, equal words."""
+        """A number for each piece, and the first place of each number; equal numbers, equal pieces."""
         import numpy as np
         import pandas as pd
 
         codes, _ = pd.factorize(self.hash)
-        first = np.empty(int(codes.max()) + 1 if len(codes) else 0, np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        size, like = self.end - self.start, first[codes]
-        reads = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
-        keep = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
-        part = lambda k: reads[np.where(size > k, self.start + k, 0)] & keep[np.clip(size - k, 0, 8)]
-        a, b, text = part(0), part(8), self.data.data
-        same = (size == size[like]) & (a == a[like]) & (b == b[like])
+        size, text = self.end - self.start, self.data.data
+        first = firsts(codes)
+        like = first[codes] if len(codes) else codes
+        same = (size == size[like]) & (self.read(0) == self.read(0, like)) & (self.read(8) == self.read(8, like))
         long = np.flatnonzero(same & (size > 16) & (like != np.arange(len(size))))
         same[long] = [text[self.start[i] : self.end[i]] == text[self.start[j] : self.end[j]] for i, j in zip(long.tolist(), like[long].tolist())]
-        if same.all():
-            return codes
-        return pd.factorize(np.array([bytes(text[i:j]) for i, j in zip(self.start.tolist(), self.end.tolist())] + [None], object)[:-1])[0]
+        if not same.all():
+            codes = pd.factorize(np.array([*self.bytes(), None], object)[:-1])[0]
+            first = firsts(codes)
+        return codes, first
+
+    def bytes(self, some=None) -> list[bytes]:
+        """The pieces at the places some (all if None)."""
+        raw = self.data.tobytes()
+        start, end = (self.start, self.end) if some is None else (self.start[some], self.end[some])
+        return [raw[i:j] for i, j in zip(start.tolist(), end.tolist())]
+
+
+def firsts(codes):
+    """The first place of each of the numbers 0, 1, 2 ..."""
+    import numpy as np
+
+    out = np.empty(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    out[codes[::-1]] = np.arange(len(codes))[::-1]
+    return out
+
+
+class Words(Pieces):
+    """The words of a text column; with lower, A to Z count as a to z."""
+
+    def __init__(self, column, lower: bool = False):
+        import numpy as np
+
+        data, offs = text_bytes(column)
+        raw = data[: offs[-1]]
+        if lower:
+            raw[(raw >= 65) & (raw <= 90)] |= 32
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offs] = True
+        begin, stop = solid.copy(), solid.copy()
+        begin[1:] &= edge[1:-1] | ~solid[:-1]
+        stop[:-1] &= edge[1:-1] | ~solid[1:]
+        start = np.flatnonzero(begin)
+        self.texts = offs
+        super().__init__(data, start, np.flatnonzero(stop) + 1, np.searchsorted(start, offs))
+
+
+def laid_out(values: list[bytes], codes, ends, width: int) -> Iterator[bytes]:
+    """Between each two neighbouring ends, the values of the codes there, joined; all are multiples of width long."""
+    import numpy as np
+
+    units = np.frombuffer(b"".join(values), f"<u{width}")
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    starts, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    after = np.cumsum(sizes)
+    kind = np.int32 if max(len(units), int(after[-1]) if len(after) else 0) < 1 << 31 else np.int64
+    at = np.repeat((starts - (after - sizes)).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    out = units[at]
+    bounds = np.append(0, after)[ends].tolist()
+    return (out[i:j].tobytes() for i, j in zip(bounds, bounds[1:]))

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def test_word_ids_match_single_texts():
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     texts = ["  a1b2   zz", "İstanbul naïve éte straße", "don't it's 'll x's", "<|endoftext|> a", " ".join(f"w{'xyz'[i % 3] * (i % 7)}o" for i in range(900)), "数据 данные ªº ﬁn ǅ", ""]
-    assert packing.WordIds(path).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() for x in texts]
+    assert packing.WordIds(path).encode(pa.array(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, np.uint16).tobytes() for x in texts]
 
 
 def test_near_duplicates_hidden_behind_closer_samples(spark):
@@ -213,7 +214,7 @@ def test_near_duplicates_hidden_behind_closer_samples(spark):
         sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in family]
         alike = {(i, j) for i in range(len(family)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         assert alike == {(len(decoys) + 1, len(decoys))}
-    filler = [f"u{i} v{i} y{i}" for i in range(2400)]
+    filler = [f"u{i} v{i} y{i}" for i in range(int(122 / near_dedup.COMMON))]  # so that no family's shingle is common
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, [" ".join(t) if isinstance(t, list) else t for t in [*texts, *filler]])).collect()}
     assert {i: got[i] for i in want} == want
 
