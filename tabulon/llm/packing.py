@@ -15,10 +15,13 @@ result; only the key and text columns are read, so other columns' names cannot c
 """
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import groups_of_text, partitions, small_batches, stored, table, worker_state
+from .words import Words, laid_out
 
 DIMENSIONS, BITS, HASHED = 4, 10, 256
 
@@ -32,7 +35,7 @@ class WordIds:
 
     PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 96 << 20):
         import os
 
         import numpy as np
@@ -42,25 +45,28 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.seen = most, {}
+        self.most, self.seen, self.size = most, {}, 0  # most: bytes of words and ids to remember
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         import numpy as np
 
-        whole, parts = set(), []
-        for w in words:
+        signs = frozenset(self.PUNCTUATION)
+        whole, parts = {w for w in words if w[-1] not in signs}, []
+        for w in words - whole:
             core = w.rstrip(self.PUNCTUATION)
-            if core and len(core) < len(w) and core.decode("utf-8", "replace")[-1].isalpha():
+            if core and core.decode("utf-8", "replace")[-1].isalpha():
                 tail = w[len(core) :]
                 parts.append((w, core, tail))
-                whole.update((core, tail))
+                whole.add(core)
+                whole.add(tail)
             else:
                 whole.add(w)
         new = list(whole.difference(self.seen))
-        letters = [w for w in new if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
-        others = list(set(new).difference(letters))
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
         lines = [letters[i : i + 250] for i in range(0, len(letters), 250)] + [[w] for w in others]
         for i in range(0, len(lines), 200):
             some = lines[i : i + 200]
@@ -77,16 +83,20 @@ class WordIds:
                         self.seen[w] = np.array(alone.ids, np.uint16).tobytes()
         for w, core, tail in parts:
             self.seen[w] = self.seen[core] + self.seen[tail]
+        self.size += 160 * (len(new) + len(parts)) + 3 * sum(map(len, words))  # ids take two bytes for one of the word at most
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 16-bit numbers (the vocabulary has fewer than 65,536)."""
-        if len(self.seen) > self.most:
+    def encode(self, column) -> list[bytes]:
+        """The ids of each text of an Arrow column as 16-bit numbers (the vocabulary has fewer than 65,536)."""
+        if self.size > self.most:
             self.seen.clear()
-        cut = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        new = set().union(*cut).difference(self.seen)
+            self.size = 0
+        w = Words(column, lower=True)
+        codes, first = w.numbered()
+        distinct = w.bytes(first)
+        new = set(distinct).difference(self.seen)
         if new:
             self.learn(new)
-        return [b"".join(map(self.seen.__getitem__, words)) for words in cut]
+        return list(laid_out([self.seen[x] for x in distinct], codes, w.first, 2))
 
 
 def hilbert(points):
@@ -148,7 +158,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int, key: str, text: str) -
         weights = random - random.mean(axis=0)
         last = np.array([end], np.uint16).tobytes()
         for b in groups_of_text(batches, 1):
-            ids = [x + last for x in words.encode([t or "" for t in b.column(1).to_pylist()])]
+            ids = [x + last for x in words.encode(b.column(1))]
             place = curve_places([np.frombuffer(x, np.uint16) for x in ids], weights)
             spread = np.array([zlib.crc32(str(k).encode()) >> 9 for k in b.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((place << 23) | spread), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "place", "n", "ids"])
@@ -163,12 +173,7 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2, length: int = 4096, k
     rows = stored(tokenized(docs, vocabulary, end, key, text))
     ranges = 4 * partitions(spark)
     cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    if cuts:
-        near = F.filter(F.lit(cuts), lambda c: c <= F.col("place"))
-        rows = rows.withColumn("range", F.size(near))
-    else:
-        rows = rows.withColumn("range", F.lit(0))
+    rows = ranged(rows, sorted(set(cuts)))
     totals = {r["range"]: r["n"] for r in rows.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # as many rows as ranges
     starts, at = {}, 0
     for r in sorted(totals):
@@ -197,10 +202,32 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2, length: int = 4096, k
             columns = [docs_.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:7])] + [pa.array(out[7], pa.binary())] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids)
 
-    ordered = rows.repartition(partitions(spark), "range").sortWithinPartitions("range", "place", "doc_id", "n", "ids")
+    # Ranges go to tasks by their measured sizes, the largest first, each to the task that has least.
+    tasks = [(0, k) for k in range(partitions(spark))]
+    to = [0] * ranges
+    for r in sorted(totals, key=totals.get, reverse=True):
+        load, k = tasks[0]
+        to[r] = k
+        heapq.heapreplace(tasks, (load + totals[r], k))
+    dealt = rows.repartitionById(len(tasks), F.get(F.lit(to), F.col("range")))
+    ordered = dealt.sortWithinPartitions("range", "place", "doc_id", "n", "ids")
     return ordered.select("doc_id", "range", "ids").mapInArrow(cut, fields)
 
 
+def ranged(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """rows with range, the number of cuts up to place, found by halving: log2 of the cuts steps a row, not all of them."""
+    line, steps = F.lit(cuts or [0]), max(1, len(cuts).bit_length())
+
+    def halve(span, _):
+        half = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        open_ = span["low"] < span["high"]
+        right = open_ & (F.get(line, half) <= F.col("place"))
+        return F.struct(F.when(right, half + 1).otherwise(span["low"]).alias("low"), F.when(open_ & ~right, half).otherwise(span["high"]).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return rows.withColumn("range", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve)["low"])
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -49,10 +49,10 @@ class Pieces:
 
         self.data, self.start, self.end, self.first = data, start, end, first
         size = end - start
-        h = self.read(0) + np.uint64(MIX[4]) * size.astype(np.uint64)
-        h = mixed(h * np.uint64(MIX[0]))
-        more = np.flatnonzero(size > 8)
-        h[more] = mixed(h[more] + np.uint64(MIX[5]) * self.read(8, more))
+        self.low, self.more = self.read(0), np.flatnonzero(size > 8)
+        self.high = self.read(8, self.more)
+        h = mixed((self.low + np.uint64(MIX[4]) * size.astype(np.uint64)) * np.uint64(MIX[0]))
+        h[self.more] = mixed(h[self.more] + np.uint64(MIX[5]) * self.high)
         text = data.data
         for k in np.flatnonzero(size > 16).tolist():
             h[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]])
@@ -98,10 +98,14 @@ class Pieces:
         size, text = self.end - self.start, self.data.data
         first = firsts(codes)
         like = first[codes] if len(codes) else codes
-        same = (size == size[like]) & (self.read(0) == self.read(0, like)) & (self.read(8) == self.read(8, like))
-        long = np.flatnonzero(same & (size > 16) & (like != np.arange(len(size))))
-        same[long] = [text[self.start[i] : self.end[i]] == text[self.start[j] : self.end[j]] for i, j in zip(long.tolist(), like[long].tolist())]
-        if not same.all():
+        same = bool(((size == size[like]) & (self.low == self.low[like])).all())
+        if same and len(self.more):
+            high = np.zeros(len(size), np.uint64)
+            high[self.more] = self.high
+            same = bool((self.high == high[like[self.more]]).all())
+            long = self.more[(size[self.more] > 16) & (like[self.more] != self.more)]
+            same = same and all(text[i:j] == text[u:v] for i, j, u, v in zip(*(x.tolist() for x in (self.start[long], self.end[long], self.start[like[long]], self.end[like[long]]))))
+        if not same:
             codes = pd.factorize(np.array([*self.bytes(), None], object)[:-1])[0]
             first = firsts(codes)
         return codes, first
