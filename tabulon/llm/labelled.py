@@ -11,8 +11,9 @@ def remainder(key: Column, modulus: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, y) of at most most labelled rows with usable(key), those of least hash.  The list of ids that is
-    broadcast has at most most rows; a key in several documents brings each of them."""
+    """(text, y) of at most most labelled rows with usable(key), those of least hash: one row an id, of several labels
+    the largest, of several texts that of least hash.  The list of ids that is broadcast has at most most rows."""
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & usable(F.col("k")))
-    chosen = rows.orderBy(F.xxhash64("k"), "k", "y").limit(most)
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("text", "y")
+    chosen = rows.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
+    found = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")
+    return found.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).select("text", "y")

@@ -123,13 +123,15 @@ def scored(docs: DataFrame, space: Space, text: str = "text", score: str = "scor
     docs = docs.drop(*[c for c in docs.columns if c.lower() == score.lower()])
     names = docs.columns
     at = names.index(text)
-    model = docs.sparkSession.sparkContext.broadcast(space)
+    model = docs.sparkSession.sparkContext.broadcast(vars(space))  # plain arrays: workers need no class
 
     def run(batches):
         import pyarrow as pa
 
+        here = Space.__new__(Space)
+        here.__dict__.update(model.value)
         for b in groups_of_text(batches, at, 1 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.votes(counted(b.column(at).to_pylist())), pa.float64())], [*names, score])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(here.votes(counted(b.column(at).to_pylist())), pa.float64())], [*names, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
