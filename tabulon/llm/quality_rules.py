@@ -1,8 +1,10 @@
 """Quality rules decided per host, in DataFrame operations only.
 
-Each document is measured by rules; failures are counted per host; a host's failure rate is
-shrunk towards the corpus by an empirical beta prior (method of moments over the hosts); a host
-whose shrunk rate reaches max_rate is rejected, and its verdict is joined back to its documents.
+Each document is measured by rules; failures are counted per host; a host's failure rate by a rule is
+shrunk towards the corpus by an empirical beta prior (method of moments over the hosts; its strength is held between 1
+and STRONGEST documents, so that a corpus of alike hosts does not drown a bad one); a host
+whose shrunk rate reaches TIMES the prior's mean, but LEAST at least and MOST at most, is rejected, and its verdict is
+joined back to its documents.
 
 Defined cases: a null or empty text has no words and fails the base rules; a document without a
 host (null) gets no host verdict; repeated rows are judged one by one; an empty table gives an
@@ -13,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, SPACES, let, stored, words_of
+from .shared import SPACE, SPACES, fresh, let, stored, words_of
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: A host is rejected at so many times the usual failure rate, within these bounds.
+TIMES, LEAST, MOST = 3.0, 0.3, 0.6
+STRONGEST = 1000.0
 
 
 def word_counts(words: Column, span: int = 3) -> Column:
@@ -53,20 +58,26 @@ def word_counts(words: Column, span: int = 3) -> Column:
     return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), counted(w).cast("long").alias("n_repeat_words")))
 
 
-def measured(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, host and the counts that rules look at."""
+def counted(text: str, host: str) -> list[Column]:
+    """host and the counts that rules look at, those of words in one struct."""
     t = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(t, SPACE, "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    counted = docs.select(
-        F.col(key).alias("doc_id"),
+    return [
         F.col(host).alias("host"),
         word_counts(words_of(F.col(text))).alias("w"),
-        F.length(bare).cast("long").alias("word_chars"),
+        F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    return counted.select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    ]
+
+
+def flat(counts: DataFrame) -> DataFrame:
+    return counts.select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+
+
+def measured(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """One row per document: key, host and the counts that rules look at."""
+    return flat(docs.select(F.col(key).alias("doc_id"), *counted(text, host)))
 
 
 def host_rates(stats: DataFrame, failed: dict[str, Column]) -> DataFrame:
@@ -75,7 +86,7 @@ def host_rates(stats: DataFrame, failed: dict[str, Column]) -> DataFrame:
     return stats.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *counts)
 
 
-def beta_prior(hosts: DataFrame, rule: str, most: float = 1000.0) -> tuple[float, float]:
+def beta_prior(hosts: DataFrame, rule: str, most: float = STRONGEST) -> tuple[float, float]:
     """Mean and strength of the beta prior of a rule's failure rate, by moments over the hosts.
 
     Only these sums reach the driver, one row whatever the input."""
@@ -92,15 +103,20 @@ def base_failed(n_words: Column, n_repeat_words: Column, min_words: int = 50, re
     return (n_words < min_words) | (100 * n_repeat_words > repeat_percent * n_words)
 
 
-def host_verdicts(stats: DataFrame, max_rate: float = 0.6) -> DataFrame:
-    """(host, host_docs, host_failed, host_rejected) from document counts."""
+def failures() -> dict[str, Column]:
+    """Each rule's verdict on a document, from its counts."""
     base = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    failed = {"base": base, "symbols": 10 * F.col("n_symbols") > 3 * F.col("n_words"), "lines": 4 * F.col("n_dup_lines") > F.col("n_words")}
-    hosts = stored(host_rates(stats, failed))
+    return {"base": base, "symbols": 10 * F.col("n_symbols") > 3 * F.col("n_words"), "lines": 4 * F.col("n_dup_lines") > F.col("n_words")}
+
+
+def host_verdicts(stats: DataFrame) -> DataFrame:
+    """(host, host_docs, host_failed, host_rejected) from document counts."""
+    hosts = stored(host_rates(stats, failures()))
     bad = F.lit(False)
-    for rule in failed:
+    for rule in failures():
         mean, strength = beta_prior(hosts, rule)
-        bad = bad | ((F.col(f"f_{rule}") + mean * strength) / (F.col("n") + strength) >= max_rate)
+        limit = min(MOST, max(LEAST, TIMES * mean))
+        bad = bad | ((F.col(f"f_{rule}") + mean * strength) / (F.col("n") + strength) >= limit)
     return hosts.select("host", F.col("n").alias("host_docs"), F.col("f_base").alias("host_failed"), bad.alias("host_rejected"))
 
 
@@ -114,11 +130,16 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that judged() keeps.  Texts stay where they are: only rejected hosts are joined."""
-    stats = stored(measured(docs, text, host, key))
+    """The rows of docs, all columns, that judged() keeps.  Words are counted once: the rows go to the shared folder with
+    their counts, those that fail without their text."""
+    mark, spoilt = (fresh(x, docs.columns) for x in ("_counts", "_fails"))
+    counts = docs.withColumn(mark, F.struct(*counted(text, host)))
+    counts = counts.withColumn(spoilt, base_failed(F.col(f"{mark}.w.n_words"), F.col(f"{mark}.w.n_repeat_words")))
+    held = stored(counts.withColumn(text, F.when(~F.col(spoilt), F.col(text))))
+    stats = flat(held.select(F.lit(None).cast("long").alias("doc_id"), f"{mark}.*"))
     rejected = host_verdicts(stats).where("host_rejected").select(F.col("host").alias("_rejected_host"))
-    fails = let(word_counts(words_of(F.col(text))), lambda w: base_failed(w["n_words"], w["n_repeat_words"]))
-    return docs.where(~fails).join(rejected, docs[host] == F.col("_rejected_host"), "left_anti")
+    kept = held.where(~F.col(spoilt)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(rejected, kept[host] == F.col("_rejected_host"), "left_anti")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -163,7 +184,8 @@ p as (
          case when v3 <= 1e-12 then 1000 else least(1000, greatest(1, m3 * (1 - m3) / v3 - 1)) end as s3 from m),
 v as (
   select host, n as host_docs, f1::bigint as host_failed,
-         (f1 + m1 * s1) / (n + s1) >= 0.6 or (f2 + m2 * s2) / (n + s2) >= 0.6 or (f3 + m3 * s3) / (n + s3) >= 0.6 as bad
+         (f1 + m1 * s1) / (n + s1) >= least(0.6, greatest(0.3, 3 * m1)) or (f2 + m2 * s2) / (n + s2) >= least(0.6, greatest(0.3, 3 * m2))
+         or (f3 + m3 * s3) / (n + s3) >= least(0.6, greatest(0.3, 3 * m3)) as bad
   from h, p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not coalesce(bad, false) as kept, host, host_docs, host_failed,

@@ -99,6 +99,13 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def worker_state(name: str, make):
     """A value kept for the life of a Python worker process, across its tasks."""
     kept = sys.__dict__.setdefault("_tabulon_worker", {})
