@@ -10,14 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import near_dedup, packing, quality_neighbours, quality_rules, substring_dedup
 from tabulon.llm.labelled import remainder
-from tabulon.llm.shared import stored, table
-
-
-def fresh(name: str, columns: list[str]) -> str:
-    """name, with underscores until no column has it."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
+from tabulon.llm.shared import fresh, table, temporaries
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +26,8 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near-duplicates, and rows without id."""
-    gone = near_dedup.classes(docs).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of least id of each class of near-duplicates, one row of an id, and rows without id."""
+    return near_dedup.kept_documents(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with temporaries(spark) as keep:  # what a stage stores goes when its result is written
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
