@@ -58,28 +58,26 @@ def weighted_sets(texts):
 def near_classes(ids, texts, threshold=0.8):
     """{id: least id of its class}, by all pairs; ids are distinct."""
     sets, parent = weighted_sets(texts), list(range(len(texts)))
-    holders = {}
+    holders: dict = {}
     for i, s in enumerate(sets):
         for x in s:
             holders.setdefault(x, []).append(i)
-    total = [sum(s.values()) for s in sets]
+    total, inner = np.array([sum(s.values()) for s in sets]), np.zeros((len(sets), len(sets)))
+    for x, who in holders.items():
+        if len(who) > 1:
+            w = np.array([sets[i][x] for i in who])
+            inner[np.ix_(who, who)] += np.minimum.outer(w, w)
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, s in enumerate(sets):
-        inner = {}
-        for x, w in s.items():
-            for j in holders[x]:
-                if j < i:
-                    inner[j] = inner.get(j, 0.0) + min(w, sets[j][x])
-        for j, v in inner.items():
-            if v >= threshold * (total[i] + total[j] - v) - 1e-9:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[a if ids[a] > ids[b] else b] = b if ids[a] > ids[b] else a
+    alike = (inner >= threshold * (total[:, None] + total - inner) - 1e-9) & (total > 0)
+    for i, j in zip(*np.nonzero(np.tril(alike, -1))):
+        a, b = find(int(i)), find(int(j))
+        if a != b:
+            parent[a if ids[a] > ids[b] else b] = b if ids[a] > ids[b] else a
     return {k: ids[find(i)] for i, k in enumerate(ids)}
 
 

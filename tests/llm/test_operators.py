@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import zlib
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from tabulon.llm import bpe, near_dedup, packing, quality_neighbours, quality_rules, sharding, substring_dedup, tiff, toxicity, url_filters
 from tabulon.llm.components import components
 
+from . import brute
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, source string, n_words long, score double, host string"
 
@@ -152,20 +155,23 @@ def test_near_duplicates_against_brute_force(spark):
                 w[j] = "zz"
             texts.append(" ".join(w))
     texts += [None, "", "one two", "one two", words(99, 50)]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts)).collect()}
-    assert sum(got[i] != find(i) for i in range(len(texts))) <= 2
+    assert got == brute.near_classes(list(range(len(texts))), texts)
+
+
+@pytest.mark.parametrize("n, block", [(600, 40), (600, 2048), (1200, 2048)])
+def test_near_copies_in_a_large_group_keep_every_class(spark, monkeypatch, n, block):
+    monkeypatch.setattr(near_dedup, "linked", functools.partial(near_dedup.linked, block=block))
+    g, base, texts = np.random.default_rng(n), [f"w{j}" for j in range(200)], []
+    for _ in range(n):  # up to eight edits each, so that many pairs lie on either side of 0.8
+        w = list(base)
+        for j in g.choice(200, g.integers(0, 9), False):
+            w[j] = f"z{g.integers(1 << 30)}"
+        texts.append(" ".join(w))
+    texts += [f"u{i} v{i} x{i} y{i} z{i} t{i}" for i in range(500)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts)).collect()}
+    want = brute.near_classes(list(range(len(texts))), texts)
+    assert got == want and n / 4 < len({want[i] for i in range(n)}) < n
 
 
 def test_shards_commit_once(spark, tmp_path):
