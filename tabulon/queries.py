@@ -269,6 +269,9 @@ sql("group_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineite
 sql("subquery_corr_sql", "SELECT c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n, (SELECT MAX(o.o_orderkey) FROM orders o WHERE o.o_custkey = c.c_custkey) AS last FROM customer c", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n, coalesce((select max(o_orderkey) from orders where o_custkey = c_custkey), 0) as last from customer")
 sql("subquery_multicol_sql", "SELECT n_name, (SELECT COUNT(*) AS n, MIN(c_custkey) AS first FROM customer WHERE c_nationkey = n_nationkey) FROM nation", "select n_name, a.n, coalesce(a.first, 0) as first from nation, lateral (select count(*) as n, min(c_custkey) as first from customer where c_nationkey = n_nationkey) a")
 sql("subquery_in_not", "SELECT n_name FROM nation WHERE NOT n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 1)", "select n_name from nation where n_regionkey <= 1")
+sql("subquery_alias_reuse", "SELECT n.n_name, (SELECT COUNT(*) FROM customer n WHERE n.c_nationkey = 3) AS k FROM nation n", "select n_name, (select count(*) from customer where c_nationkey = 3) as k from nation")
+sql("window_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM orders")
+sql("filter_schemaless", "SELECT c_custkey FROM customer, nation WHERE c_nationkey = n_nationkey AND n_name = (SELECT n_name FROM nation ORDER BY n_name LIMIT 1)", "select c_custkey from customer join nation on c_nationkey = n_nationkey where n_name = (select min(n_name) from nation)")
 sql("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
 sql("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
 sql("set_top", "SELECT TOP 1 r_regionkey AS k FROM region WHERE r_regionkey = 2 UNION ALL SELECT n_nationkey AS k FROM nation ORDER BY k", "select 2 as k union all select n_nationkey from nation")
