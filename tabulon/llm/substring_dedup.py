@@ -160,10 +160,11 @@ def arrays_of(data: bytes, count: int):
     return [np.cumsum(np.ascontiguousarray(x.reshape(8, n).T).view("<i8").ravel()) for x in raw.reshape(count, 8 * n)] if n else [np.zeros(0, np.int64)] * count
 
 
-def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_words", "n_removed"), spaced: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_words", "n_removed"), spaced: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of docs with text replaced by its kept words joined by one space where any word went (with spaced:
     everywhere but in nulls), and the two counts.  Rows and other columns are kept as they are; input columns of the
-    counts' names give way to them."""
+    counts' names give way to them.  A window that all blocks of block_bytes of text hold costs its bucket a string a
+    block, so larger blocks suit larger tables (a task needs about 30 times a block's bytes)."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in counts}])
@@ -189,10 +190,10 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id
             n, held, size = n + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "data"])
 
-        for b in groups_of_text(batches, at_text, BLOCK_BYTES):
+        for b in groups_of_text(batches, at_text, block_bytes):
             held.append(b)
             size += b.nbytes
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield block()
         if held:
             yield block()
@@ -358,7 +359,8 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id
 
     def to_blocks(rows: DataFrame) -> DataFrame:
         both = blocks.select("block", F.lit(-1).alias("bucket"), "data").unionByName(rows)
-        return both.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("bucket") != -1, "bucket")
+        spread = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF) * 17, F.lit(partitions(spark)))  # evenly: a part's blocks apart
+        return both.repartitionById(partitions(spark), spread.cast("int")).sortWithinPartitions("block", F.col("bucket") != -1, "bucket")
 
     blocks = stored(docs.mapInArrow(freeze, "block long, data binary"), "uncompressed")
     bits = stored(to_buckets(blocks.mapInArrow(ask, "bucket int, block long, data binary")).mapInArrow(answer, "block long, bucket int, data binary"))
