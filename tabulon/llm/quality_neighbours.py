@@ -11,47 +11,68 @@ texts are counted whole; an empty table gives an empty result; other input colum
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import remainder, sample
 from .shared import groups_of_text, small_batches, table
+from .words import Words
 
 #: Hashed dimensions for words and for shapes, latent dimensions, neighbours.
 WORDS, SHAPES, LATENT, NEAREST = 1024, 512, 64, 15
 SHAPE_WEIGHT = 3.0
 
 
-def counted(texts: list[str]):
-    """(n, WORDS + SHAPES) counts: each word once by its letters and once by its shape, and each repeat of a word's predecessor."""
+@functools.cache
+def shape(kind: str, tail: str, size: int) -> int:
+    """Dimension of a word's shape: its kind, its closing signs, its length in steps of four."""
     import zlib
 
+    return WORDS + zlib.crc32(f"{kind} {tail} {size}".encode()) % (SHAPES - 1)
+
+
+def places(word: bytes) -> tuple[int, int]:
+    """Hashed dimensions of a word's letters and of its shape."""
+    import zlib
+
+    core = word if word.isalpha() else word[:-1]
+    if core.isalpha() and (core is word or word[-1] in b".,;:?)"):  # letters alone, or with one other sign: no tail
+        kind = "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core.islower() else "m"
+        return zlib.crc32(core.lower()) % WORDS, shape(kind, "", min(len(core) // 4, 4))
+    s = word.decode("utf-8", "replace")
+    core = s if s.isalnum() else s.strip("".join(c for c in s if not c.isalnum()))
+    tail = s[len(s.rstrip("!#$%&*|<>")) :]
+    kind = "n" if core.isnumeric() else "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core.islower() else "m"
+    return zlib.crc32(core.lower().encode()) % WORDS, shape(kind if core else "-", tail[:3], min(len(core) // 4, 4))
+
+
+def counted(texts, cache: dict | None = None):
+    """(n, WORDS + SHAPES) counts of a list or Arrow column of texts: each word once by its letters and once by its
+    shape, and each repeat of a word's predecessor.  cache: places of words met before (it is emptied when it is large)."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-    lengths = np.array([len(x) for x in cut], np.int64)
-    out = np.zeros((len(texts), WORDS + SHAPES), np.float32)
-    if not lengths.sum():
+    w = Words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    width, cache = WORDS + SHAPES, {} if cache is None else cache
+    out = np.zeros((len(texts), width), np.float32)
+    if not len(w.hash):
         return out
-    flat = np.empty(lengths.sum(), object)
-    flat[:] = [w for x in cut for w in x]
-    codes, unique = pd.factorize(flat)
-    lexical, shape = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
-    for k, w in enumerate(unique):
-        s = w.decode("utf-8", "replace")
-        core = s.strip("".join(c for c in s if not c.isalnum())) if not s.isalnum() else s
-        tail = s[len(s.rstrip("!#$%&*|<>")) :]
-        kind = "n" if core.isnumeric() else "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core.islower() else "m"
-        lexical[k] = zlib.crc32(core.lower().encode()) % WORDS
-        shape[k] = WORDS + zlib.crc32(f"{kind if core else '-'} {tail[:3]} {min(len(core) // 4, 4)}".encode()) % (SHAPES - 1)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    width = WORDS + SHAPES
+    if len(cache) > 400_000:
+        cache.clear()
+    codes, first = w.numbered()
+    unique = w.bytes(first)
+    for x in unique:
+        if x not in cache:
+            cache[x] = places(x)
+    at = np.array([cache[x] for x in unique], np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(w.first))
     again = np.zeros(len(codes), bool)
     again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
-    at = np.concatenate([row * width + lexical[codes], row * width + shape[codes], row[again] * width + width - 1])
-    out += np.bincount(at, minlength=out.size).reshape(out.shape)
+    cells = np.concatenate([row * width + at[codes, 0], row * width + at[codes, 1], row[again] * width + width - 1])
+    out += np.bincount(cells, minlength=out.size).reshape(out.shape)
     return out
 
 
@@ -108,7 +129,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, usable, most: int = 4
         import pyarrow as pa
 
         for b in groups_of_text(batches, 0):
-            c = counted(b.column(0).to_pylist()).astype(np.float32)
+            c = counted(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary()), b.column(1)], ["c", "y"])
 
     rows = sample(docs, labels, label, usable, most).mapInArrow(count, "c binary, y int").collect()
@@ -130,8 +151,9 @@ def scored(docs: DataFrame, space: Space, text: str = "text", score: str = "scor
 
         here = Space.__new__(Space)
         here.__dict__.update(model.value)
-        for b in groups_of_text(batches, at, 1 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(here.votes(counted(b.column(at).to_pylist())), pa.float64())], [*names, score])
+        cache: dict = {}
+        for b in groups_of_text(batches, at, 2 << 20):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(here.votes(counted(b.column(at), cache)), pa.float64())], [*names, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
