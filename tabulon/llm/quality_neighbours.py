@@ -11,8 +11,6 @@ texts are counted whole; an empty table gives an empty result; other input colum
 """
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +24,6 @@ WORDS, SHAPES, LATENT, NEAREST = 1024, 512, 64, 15
 SHAPE_WEIGHT = 3.0
 
 
-@functools.cache
 def shape(kind: str, tail: str, size: int) -> int:
     """Dimension of a word's shape: its kind, its closing signs, its length in steps of four."""
     import zlib

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables: loops over whole texts, all pairs, no shortcuts."""
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -14,7 +15,8 @@ def rules(text):
     """n_words, n_repeat_words and whether the base rules fail."""
     w = words(text)
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    again = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
+    found = Counter(windows)
+    again = {i + k for i, x in enumerate(windows) if found[x] > 1 for k in range(3)}
     return len(w), len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)
 
 
