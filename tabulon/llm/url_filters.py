@@ -53,9 +53,11 @@ def same_page(url: Column) -> Column:
 
 def unescaped(value: Column) -> Column:
     """value with its HTML character references (numeric, or named with a semicolon) replaced."""
+    import json
     from html.entities import html5
 
-    names = F.create_map(*[F.lit(x) for k, v in html5.items() if k.endswith(";") for x in ("&" + k, v)])
+    # One literal that the optimizer turns into the map; a call for each of the names would take seconds to plan.
+    names = F.from_json(F.lit(json.dumps({"&" + k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
 
     def plain(token: Column) -> Column:
         digits = F.regexp_extract(token, r"^&#[xX]?([0-9a-fA-F]+);", 1)
