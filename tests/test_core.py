@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,25 @@ def test_prompt_commands(spark, shop, monkeypatch):
     finally:
         for t in list(e.tables):
             e.remove(t)
+
+
+def test_average_of_many_times_is_exact(spark):
+    rows = spark.range(40_000).selectExpr("id AS k", "id % 3 AS g", "timestamp_ntz '1969-12-31 23:59:59.999999' + make_dt_interval(cast(id % 9000 AS int), 0, 0, cast(id * 0.000001 AS decimal(18, 6))) AS t")
+    e = Engine(spark)
+    e.register("many_times", rows.unionAll(spark.sql("SELECT -1L, 0L, CAST(NULL AS timestamp_ntz)")))
+    try:
+        micros = {r.k: (r.g, r.d * 86_400_000_000 + r.k - 1) for r in rows.selectExpr("k", "g", "k % 9000 AS d").collect()}  # its microseconds since 1970
+
+        def mean(values):
+            return datetime(1970, 1, 1) + timedelta(microseconds=(2 * sum(values) + len(values)) // (2 * len(values)))
+
+        assert e.sql("SELECT AVG(t) AS m FROM many_times")[0].first().m == mean([m for _, m in micros.values()])
+        got = {r.g: (r.m, r.d) for r in e.sql("SELECT g, AVG(t) FILTER (WHERE k < 20000) AS m, AVG(CAST(t AS DATE)) AS d FROM many_times GROUP BY g")[0].collect()}
+        assert {g: m for g, (m, _) in got.items()} == {g: mean([m for k, (h, m) in micros.items() if h == g and k < 20_000]) for g in range(3)}
+        assert {g: d for g, (_, d) in got.items()} == {g: mean([m // 86_400_000_000 * 86_400_000_000 for h, m in micros.values() if h == g]) for g in range(3)}
+        assert e.sql("SELECT AVG(DISTINCT t) AS m FROM many_times WHERE k < 2")[0].first().m == mean([-1, 86_400_000_000])
+        window = e.sql("SELECT k, AVG(t) OVER (ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS m FROM many_times WHERE k < 3")[0].collect()
+        assert {r.k: r.m for r in window} == {-1: None, 0: mean([-1]), 1: mean([-1, 86_400_000_000]), 2: mean([86_400_000_000, 2 * 86_400_000_000 + 1])}
+        assert e.sql("SELECT AVG(t) AS m FROM many_times WHERE k > 99999")[0].first().m == datetime(1970, 1, 1)
+    finally:
+        e.remove("many_times")
