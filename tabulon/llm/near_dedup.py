@@ -1,11 +1,13 @@
 """Near-duplicate classes: improved consistent weighted sampling (Ioffe 2010) over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles: weight (1 + ln tf) * idf.  The idf is 1 for a
-shingle in less than COMMON of the documents and falls with the logarithm of its frequency to FLOOR for one in all
-of them: a group of copies that holds a third of the corpus must not devalue the very shingles that make it alike, so
-the fall is slight.
-Frequencies are exact counts over all documents, the same in any layout: summaries of bounded error (lossy
-counting, Manku and Motwani 2002) name every shingle that may be common, a second pass counts those.
+A document is the weighted set of its five-word shingles: weight (1 + ln tf) * idf, df and idf of every shingle.
+smooth_idf is 1 + ln((1 + n) / (1 + df)) divided by that of df 1 (a common factor changes no similarity), what the query
+and the pipeline use.  damped_idf, the operator's first form and still its default, leaves 1 below COMMON and falls to
+FLOOR for a shingle in all documents.
+
+Document frequencies are exact counts over all documents, the same in any layout, and no shingle is left out: documents
+are frozen in blocks; a block sends its distinct shingles by hash to buckets, a bucket adds up all blocks' counts
+and sends each block the frequencies of its own.  A document keeps those of its shingles beside its text.
 
 SAMPLES consistent weighted samples a document are banded; documents that share a band are candidates, and a
 candidate pair is linked if the weighted Jaccard similarity of the whole texts is at least the threshold.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import bucketed, fresh, groups_of_text, partitions, small_batches, stored, table, temporaries
+from .substring_dedup import arrays_of, numbers
 from .words import MIX, Words, mixed
 
 SPAN, THRESHOLD = 5, 0.8
@@ -37,8 +40,10 @@ COMMON, FLOOR = 0.05, 0.9
 HOPE = 0.56
 #: Bits of a shingle's hash; the rest hold its row in a block.
 BITS = 54
-#: Bytes of text to sample at once.
-AT_ONCE = 1 << 20
+#: Bytes of text to sample at once, and in a block.
+AT_ONCE, BLOCK_BYTES = 1 << 20, 4 << 20
+#: Shingles of one weight in a block from which the sampler tabulates the weight.
+TABULATED = 128
 
 
 def shingled(column):
@@ -68,15 +73,32 @@ def shingled(column):
     return (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64((1 << BITS) - 1), tf, whole
 
 
-def weighed(common, x, tf):
-    """Weights of shingles; common: sorted hashes of the common ones and the idf of each."""
+def smooth_idf(total: int, df):
+    """Smooth inverse document frequencies in units of that of a shingle of one document."""
+    import numpy as np
+
+    return (1 + np.log((1 + total) / (1 + df))) / (1 + np.log((1 + total) / 2))
+
+
+def damped_idf(total: int, df):
+    """1 for shingles of fewer than COMMON of all documents; falls with the logarithm to FLOOR for one in all."""
     import numpy as np
 
-    w, (hashes, idf) = 1 + np.log(tf), common
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)
-        w = np.where(hashes[at] == x, w * idf[at], w)
-    return w
+    return np.where(df >= COMMON * total, FLOOR + (1 - FLOOR) * np.log(total / df) / np.log(1 / COMMON), 1.0)
+
+
+def weighed(idf, tf, df):
+    """Weights of shingles; idf: the total number of documents and the function."""
+    import numpy as np
+
+    return (1 + np.log(tf)) * idf[1](idf[0], df)
+
+
+def frequencies(column):
+    """The document frequencies that the rows of a binary column hold, one after the other."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<i4")
 
 
 class Sampler:
@@ -103,7 +125,15 @@ class Sampler:
 
         out = np.empty((len(heads), SAMPLES), np.uint32)
         odd = np.flatnonzero(np.abs(weight - 1) > 1e-12)
-        log_s = np.log(weight[odd])
+        values, which, often = np.unique(weight[odd], return_inverse=True, return_counts=True)
+        log_s, listed = np.log(values), often >= TABULATED
+        # What a frequent weight makes of each place of the table, once; a rare weight's shingles are done one by one.
+        tables = [self.turned(x, slice(None)) for x in log_s[listed]]
+        keys, turns = (np.concatenate([t[i] for t in tables]) if tables else np.zeros(0, np.uint64) for i in (0, 1))
+        row = np.cumsum(listed) - 1
+        by_table = listed[which]
+        many, few = odd[by_table], odd[~by_table]
+        base, log_few = row[which[by_table]] << self.BITS, log_s[which[~by_table]]
         name, at, key = np.empty_like(x), np.empty_like(x), np.empty_like(x)
         down, half = np.uint64(32 - self.BITS), np.uint64(32)
         for k in range(SAMPLES):
@@ -112,104 +142,166 @@ class Sampler:
             np.right_shift(name, down, out=at)
             np.take(self.unit, at.view(np.int64), out=key, mode="clip")
             np.bitwise_or(key, name, out=key)
-            if len(odd):
-                i = at[odd].astype(np.int64)
-                t = np.floor(log_s / self.r[i] + self.beta[i])
-                other = name[odd] ^ ((t.astype(np.int64) * 0x85EBCA6B).astype(np.uint64) & np.uint64(0xFFFFFFFF))
-                key[odd] = self.place(self.log_c[i] - self.r[i] * (t - self.beta[i]) - self.r[i]) | other
+            if len(many):
+                i = base + at[many].view(np.int64)
+                key[many] = keys[i] | (name[many] ^ turns[i])
+            if len(few):
+                place, turn = self.turned(log_few, at[few].astype(np.int64))
+                key[few] = place | (name[few] ^ turn)
             out[:, k] = (np.minimum.reduceat(key, heads) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return out
 
+    def turned(self, log_s, i):
+        """Of weights by their logarithm and places i of the table: the place, and what a sample's name is combined with."""
+        import numpy as np
 
-def common_shingles(docs: DataFrame, text: str, total: int):
-    """Sorted hashes of the shingles that at least COMMON of all documents hold, and the idf of each.
+        t = np.floor(log_s / self.r[i] + self.beta[i])
+        return self.place(self.log_c[i] - self.r[i] * (t - self.beta[i]) - self.r[i]), (t.astype(np.int64) * 0x85EBCA6B).astype(np.uint64) & np.uint64(0xFFFFFFFF)
 
-    First pass: each task keeps a lossy count and drops what one document, or one of width, holds; with at most
-    COMMON / 4 tasks a document and width 4 / COMMON, sums over tasks miss at most half of COMMON of all documents.  So
-    whatever is common sums to the other half at least; what does, at most a mean text's shingles times 2 / COMMON, is
-    counted exactly in the second pass.  Tables of fewer than 8 / COMMON documents drop nothing."""
-    import numpy as np
 
-    texts, width, least = docs.select(F.col(text).cast("string")), int(4 / COMMON), int(COMMON * total >= 8)
+def sampled(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
+    """(doc, text, copy, sig, df), stored: copy is the hash of all words, sig SAMPLES 32-bit numbers, both null without
+    words; df the document frequencies (32 bits each) of the document's distinct shingles in the order of their hashes."""
+    kind, buckets = docs.schema[key].dataType.simpleString(), partitions(docs.sparkSession)
 
-    def held(batches):
+    def freeze(batches):
         import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
 
-        x, n, late = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen = 0
-        for b in groups_of_text(batches, 0, 2 << 20):
-            new, count = np.unique(shingled(b.column(0))[1], return_counts=True)
-            before, seen = seen // width, seen + b.num_rows
-            if len(x):
-                at = np.minimum(np.searchsorted(x, new), len(x) - 1)
-                known = x[at] == new
-                n[at[known]] += count[known]
-                new, count = new[~known], count[~known]
-            keep, old = count + before > seen // width, n + late > seen // width
-            x, n, late = np.append(x[old], new[keep]), np.append(n[old], count[keep]), np.append(late[old], np.full(keep.sum(), before))
-            order = np.argsort(x)
-            x, n, late = x[order], n[order], late[order]
-        some = n + late > max(least, least * (seen // width))
-        x, n = x[some], n[some]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], ["x", "n"])
-
-    few = texts.coalesce(max(1, int(total * COMMON / 4)))
-    sums = few.mapInArrow(held, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    maybe = np.sort(np.array([r["x"] for r in sums.where(F.col("n") >= COMMON / 2 * total).collect()], np.int64)).view(np.uint64)
-    if not len(maybe):
-        return maybe, np.zeros(0)
-    shared = docs.sparkSession.sparkContext.broadcast(maybe)
-
-    def counted(batches):
-        import pyarrow as pa
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        press = zstandard.ZstdCompressor(3)
 
-        known = shared.value
-        n = np.zeros(len(known), np.int64)
-        for b in groups_of_text(batches, 0, 2 << 20):
-            x = shingled(b.column(0))[1]
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            n += np.bincount(at[known[at] == x], minlength=len(known))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(n[some])], ["x", "n"])
+        def block():
+            nonlocal n, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            n, held, size = n + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "data"])
 
-    exact = texts.mapInArrow(counted, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * total).collect()
-    x, n = np.array([r["x"] for r in exact], np.int64).view(np.uint64), np.array([r["n"] for r in exact], np.float64)
-    order = np.argsort(x)
-    return x[order], FLOOR + (1 - FLOOR) * np.log(total / n[order]) / np.log(1 / COMMON)
+        for b in groups_of_text(batches, 1, AT_ONCE):
+            held.append(b)
+            size += b.nbytes
+            if size >= BLOCK_BYTES:
+                yield block()
+        if held:
+            yield block()
+
+    def opened(data: bytes):
+        """A block's slices, as they were held."""
+        import pyarrow as pa
+        import zstandard
 
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all().to_batches()
 
-def sampled(docs: DataFrame, common, key: str, text: str) -> DataFrame:
-    """(doc, copy, sig): copy is the hash of all words, sig SAMPLES 32-bit numbers; both null without words."""
-    kind = docs.schema[key].dataType.simpleString()
+    def stretches(x):
+        """(bucket, from, to) of sorted hashes."""
+        import numpy as np
 
-    def run(batches):
+        bucket = ((x >> np.uint64(BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(x) else np.zeros(0, np.int64)
+        return zip(bucket[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(x)).tolist())
+
+    def ask(batches):
         import numpy as np
         import pyarrow as pa
 
-        sampler = Sampler()
-        for b in groups_of_text(batches, 1, AT_ONCE):
-            row, x, tf, whole = shingled(b.column(1))
-            sigs: list = [None] * b.num_rows
-            if len(x):
-                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                for r, s in zip(row[heads].tolist(), sampler.samples(x, weighed(common.value, x, tf), heads)):
-                    sigs[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary()), pa.array(sigs, pa.binary())], ["doc", "copy", "sig"])
+        for b in batches:
+            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, n = np.unique(np.concatenate([shingled(s.column(1))[1] for s in opened(data)]), return_counts=True)
+                sent = [(g, numbers(x[i:j].astype(np.int64), n[i:j])) for g, i, j in stretches(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in sent], pa.int32()), pa.array([number] * len(sent), pa.int64()), pa.array([d for _, d in sent], pa.binary())], ["bucket", "block", "data"])
 
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"doc {kind}, copy binary, sig binary")
+    def answer(batches):
+        """The frequencies over all blocks of each block's shingles of a bucket; none if all are 1."""
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(3)
 
-def verified(pairs: DataFrame, texts: DataFrame, common, threshold: float, kind: str, at_once: int = 200) -> DataFrame:
+        def settle(bucket, held):
+            parts = [arrays_of(data, 2) for _, data in held]
+            cuts = np.cumsum([len(x) for x, _ in parts])[:-1]
+            x, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            del parts
+            order = np.argsort(x)
+            heads = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
+            df = np.empty(len(x), "<i4")
+            df[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(x))))
+            out = [(block, press.compress(mine.view(np.uint8).reshape(-1, 4).T.tobytes())) for (block, _), mine in zip(held, np.split(df, cuts)) if (mine > 1).any()]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], ["block", "bucket", "data"])
+
+        here, held = None, []
+        for b in batches:
+            for bucket, block, data in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != here:
+                    if held:
+                        yield settle(here, held)
+                    here, held = bucket, []
+                held.append((block, data))
+        if held:
+            yield settle(here, held)
+
+    def sign(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        sampler, opener = Sampler(), zstandard.ZstdDecompressor()
+
+        def signed(data, answers):
+            slices = [(s, *shingled(s.column(1))) for s in opened(data)]
+            known = np.unique(np.concatenate([s[2] for s in slices]))
+            found = np.ones(len(known), "<i4")
+            for g, i, j in stretches(known):
+                if g in answers:
+                    found[i:j] = np.ascontiguousarray(np.frombuffer(opener.decompress(answers[g]), np.uint8).reshape(4, j - i).T).view("<i4").ravel()
+            for b, row, x, tf, whole in slices:
+                sigs: list = [None] * b.num_rows
+                df = found[np.searchsorted(known, x)]
+                if len(x):
+                    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    for r, s in zip(row[heads].tolist(), sampler.samples(x, weighed(idf, tf, df), heads)):
+                        sigs[r] = s.tobytes()
+                ends = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+                own = [df[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.binary()), pa.array(sigs, pa.binary()), pa.array(own, pa.binary())], ["doc", "text", "copy", "sig", "df"])
+
+        here, data, answers = None, None, {}
+        for b in batches:
+            for block, bucket, payload in zip(*(c.to_pylist() for c in b.columns)):
+                if block != here:  # a block's own row comes before the answers
+                    if data is not None:
+                        yield from signed(data, answers)
+                    here, data, answers = block, payload, {}
+                else:
+                    answers[bucket] = payload
+        if data is not None:
+            yield from signed(data, answers)
+
+    with temporaries(docs.sparkSession) as keep:
+        blocks = stored(docs.select(key, F.col(text).cast("string")).mapInArrow(freeze, "block long, data binary"), "uncompressed")
+        asked = blocks.mapInArrow(ask, "bucket int, block long, data binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+        answers = asked.mapInArrow(answer, "block long, bucket int, data binary")
+        spread = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF) * 17, F.lit(buckets))  # evenly: a part's blocks apart
+        both = blocks.select("block", F.lit(-1).alias("bucket"), "data").unionByName(answers).repartitionById(buckets, spread.cast("int"))
+        return keep(both.sortWithinPartitions("block", "bucket").mapInArrow(sign, f"doc {kind}, text string, copy binary, sig binary, df binary"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, kind: str, at_once: int = 200) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least threshold.
 
     b's text is sent once for every at_once of its partners, each partner's text once a pair; so a b with many
-    partners is spread over many tasks.  texts: (doc, text), bucketed by doc, so that texts of no pair do not move."""
+    partners is spread over many tasks.  texts: (doc, text, df), bucketed by doc, so that texts of no pair do not move."""
     spark = pairs.sparkSession
     hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / at_once).cast("int").alias("parts"))
     pairs = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     roles = pairs.select(F.col("a").alias("doc"), "b", "part", F.lit(1).alias("side"))
     roles = roles.union(hubs.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side")))
-    sent = roles.join(texts, "doc").select("b", "part", "side", "doc", "text")
+    sent = roles.join(texts, "doc").select("b", "part", "side", "doc", "text", "df")
 
     def compare(batches):
         import numpy as np
@@ -219,7 +311,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common, threshold: float, kind:
         for whole in batches:
             for batch in groups_of_text([whole], 4, 1 << 20):
                 row, x, tf, _ = shingled(batch.column(4))
-                w = weighed(common.value, x, tf)
+                w = weighed(idf, tf, frequencies(batch.column(5)))
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 out = ([], [])
                 for k, (b, part, side, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
@@ -240,7 +332,7 @@ def verified(pairs: DataFrame, texts: DataFrame, common, threshold: float, kind:
     return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def linked(members: DataFrame, texts: DataFrame, common, threshold: float, kind: str, block: int = 2048, most_bytes: int = 16 << 20) -> DataFrame:
+def linked(members: DataFrame, texts: DataFrame, idf, threshold: float, kind: str, block: int = 2048, most_bytes: int = 16 << 20) -> DataFrame:
     """members (bucket, band, doc, root, sig) of buckets with several classes: links (a, b) that join all classes that
     a pair of documents of at least threshold joins, for every pair whose samples agree by HOPE at least.
 
@@ -249,7 +341,7 @@ def linked(members: DataFrame, texts: DataFrame, common, threshold: float, kind:
     holds a block of the others while a block of all streams past.  It compares every such pair of different classes in the
     first band that the two share, unless links that the task has found join them.  So no list of pairs is made, a task
     gives fewer links than it has documents, and a large group of copies with a few strays costs its size times theirs."""
-    near = stored(members.join(texts, "doc").select("bucket", "band", "doc", "root", "sig", "text"))
+    near = stored(members.join(texts, "doc").select("bucket", "band", "doc", "root", "sig", "text", "df"))
     sizes = near.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
     whole = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
 
@@ -261,7 +353,7 @@ def linked(members: DataFrame, texts: DataFrame, common, threshold: float, kind:
     turn, step = F.xxhash64("doc"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where(~F.col("main")).withColumn("i", F.pmod(turn, F.col("few")).cast("int")).withColumn("j", step("all")).withColumn("side", F.lit(0))
     right = rows.withColumn("j", F.pmod(turn, F.col("all")).cast("int")).withColumn("i", step("few")).withColumn("side", F.lit(1))
-    columns = ["bucket", "i", "j", "side", "band", "doc", "root", "sig", "main", "text"]
+    columns = ["bucket", "i", "j", "side", "band", "doc", "root", "sig", "main", "text", "df"]
 
     def run(batches):
         import numpy as np
@@ -301,7 +393,7 @@ def linked(members: DataFrame, texts: DataFrame, common, threshold: float, kind:
             for b in groups_of_text([batch], 9, 1 << 20):
                 schema = pa.schema([("a", b.schema.field("doc").type), ("b", b.schema.field("doc").type)])
                 row, x, tf, _ = shingled(b.column(9))
-                w = weighed(common.value, x, tf)
+                w = weighed(idf, tf, frequencies(b.column(10)))
                 ends = np.searchsorted(row, np.arange(b.num_rows + 1))
                 made, came, others = [], [], []
 
@@ -367,20 +459,22 @@ def contracted(edges: DataFrame, most: int = 400_000) -> DataFrame:
     return edges.mapInArrow(run, edges.schema)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the least doc_id of the class."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", idf=damped_idf) -> DataFrame:
+    """(doc_id, class_id) of every row; class_id is the least doc_id of the class.  idf: a function of the number of
+    documents and an array of document frequencies."""
     spark = docs.sparkSession
     small_batches(spark)
     with temporaries(spark) as keep:
-        common = spark.sparkContext.broadcast(common_shingles(docs, text, max(1, docs.count())))
-        rows = stored(sampled(docs, common, key, text))
+        idf = max(1, docs.count()), idf
+        rows = sampled(docs, idf, key, text)
         ids = stored(rows.where("doc is not null").groupBy("doc").agg(F.min("copy").alias("x"), F.max("copy").alias("y"), F.count(F.lit(1)).alias("n"), F.count("copy").alias("m")).where("n > 1"))
         if ids.where("x != y or m between 1 and n - 1").isEmpty():
-            source = docs if ids.isEmpty() else one_each(docs.select(key, text), ids.select("doc"), key, text)
-            return keep(grouped(source, rows, common, threshold, key, text))
+            texts = rows.select("doc", "text", "df")
+            return keep(grouped(texts if ids.isEmpty() else one_each(texts, ids.select("doc"), "doc", "text"), rows, idf, threshold))
         # Some ids stand for several texts: classes of rows first, then ids join the classes of their rows.
         numbered = stored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
-        found = grouped(numbered, stored(sampled(numbered, common, "row", "text")), common, threshold, "row", "text")
+        rows = sampled(numbered, idf, "row", "text")
+        found = grouped(rows.select("doc", "text", "df"), rows, idf, threshold)
         found = stored(found.join(numbered.select("row", "id"), found["doc_id"] == F.col("row")).select("id", F.col("class_id").alias("part")))
         first = found.where("id is not null").groupBy("id").agg(F.min("part").alias("least"))
         joins = components(found.join(first, "id").where("part != least").select(F.col("part").alias("a"), F.col("least").alias("b")))
@@ -390,10 +484,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
         return keep(out)
 
 
-def grouped(docs: DataFrame, rows: DataFrame, common, threshold: float, key: str, text: str) -> DataFrame:
-    """(doc_id, class_id) of every row of rows, the samples of documents; docs has the text of each id, once."""
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+def grouped(texts: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """(doc_id, class_id) of every row of rows, the samples of documents; texts: (doc, text, df) of each id, once."""
+    kind = rows.schema["doc"].dataType.simpleString()
     known = rows.where("doc is not null and copy is not null")
     copies = stored(known.groupBy("copy").agg(F.min("doc").alias("rep")))
     heads = stored(known.join(copies, "copy").where("doc = rep").select("doc", "sig").dropDuplicates(["doc"]))
@@ -401,8 +494,8 @@ def grouped(docs: DataFrame, rows: DataFrame, common, threshold: float, key: str
     buckets = stored(heads.select("doc", F.posexplode(band).alias("band", "bucket")))
     least = buckets.groupBy("bucket").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b")
     members = stored(buckets.join(least, "bucket"))
-    texts = bucketed(docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text")), "doc", members)
-    first = stored(verified(members.where("doc != b").select(F.col("doc").alias("a"), "b").distinct(), texts, common, threshold, kind))
+    texts = bucketed(texts, "doc", members)
+    first = stored(verified(members.where("doc != b").select(F.col("doc").alias("a"), "b").distinct(), texts, idf, threshold, kind))
     # Buckets that hold several classes yet: once more against one document, the least by hash of those that the first
     # comparison left out; then every pair of different classes whose samples agree, once, within tasks.
     # Stars (node, root) stand for settled links.
@@ -420,17 +513,17 @@ def grouped(docs: DataFrame, rows: DataFrame, common, threshold: float, key: str
     rest = mixed_buckets(roots)
     hubs = rest.where("root != x").groupBy("bucket").agg(F.min_by(F.struct("doc", "root"), F.xxhash64("doc")).alias("hub"))
     more = rest.join(hubs, "bucket").where("root != hub.root").select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct()
-    roots = joined(roots, stored(verified(stored(more), texts, common, threshold, kind)))
+    roots = joined(roots, stored(verified(stored(more), texts, idf, threshold, kind)))
     rest = mixed_buckets(roots).join(heads, "doc").select("bucket", "band", "doc", "root", "sig")
-    roots = joined(roots, stored(linked(rest, texts, common, threshold, kind)))
+    roots = joined(roots, stored(linked(rest, texts, idf, threshold, kind)))
     by_copy = copies.join(roots, copies["rep"] == roots["node"], "left").select("copy", F.coalesce("root", "rep").alias("root"))
     out = rows.join(by_copy, "copy", "left")
     return out.select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc")).alias("class_id"))
 
 
-def kept_documents(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", idf=damped_idf) -> DataFrame:
     """The rows of docs, all columns, of the least id of each class, one row of an id, and the rows without id."""
-    found = classes(docs, threshold, key, text)
+    found = classes(docs, threshold, key, text, idf)
     gone = found.where("doc_id != class_id").select("doc_id").distinct()
     out = docs.join(gone, docs[key] == gone["doc_id"], "left_anti")
     twice = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -447,7 +540,7 @@ def one_each(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row with its class; of rows that repeat an id one is kept."""
-    found = classes(table(spark, sf_dir, "documents"))
+    found = classes(table(spark, sf_dir, "documents"), idf=smooth_idf)
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
     twice = stored(found.where("doc_id is not null").groupBy("doc_id", "class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     if twice.isEmpty():

@@ -51,14 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
 @contextmanager
 def temporaries(spark: SparkSession):
     """Deletes, at its end, the folders and tables that shared_dir() and bucketed() made inside.  It gives a function
-    that stores a frame so that it outlives them."""
+    that stores a frame so that it outlives them, until the enclosing temporaries() end."""
     scopes = _folders()
-    scopes.append([])
-    mine = scopes[-1]
+    outer, mine = scopes[-1], []
+    scopes.append(mine)
 
     def keep(df: DataFrame) -> DataFrame:
         out = stored(df)
-        scopes[0].append(mine.pop())
+        outer.append(mine.pop())
         return out
 
     try:
