@@ -27,7 +27,7 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each class of near-duplicates, one row of an id, and rows without id."""
-    return near_dedup.kept_documents(docs).select(*docs.columns)
+    return near_dedup.kept_documents(docs, idf=near_dedup.smooth_idf).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_tabulated_samples_equal_single_ones(monkeypatch):
     one = near_dedup.Sampler().samples(x, weight, heads)
     monkeypatch.setattr(near_dedup, "TABULATED", 1 << 40)
     assert (one == near_dedup.Sampler().samples(x, weight, heads)).all()
+
+
+def test_stage_keeps_one_of_each_class_by_real_frequencies(spark, monkeypatch, folder):
+    import corpus_pipeline
+
+    texts = corpus()
+    flat = brute.near_classes(list(range(len(texts))), texts)
+    monkeypatch.setattr(brute, "weighted_sets", smooth_sets)
+    want = {i for i, c in brute.near_classes(list(range(len(texts))), texts).items() if i == c}
+    assert want != {i for i, c in flat.items() if i == c}
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()]
+    assert sorted(got) == sorted(want)
