@@ -114,6 +114,21 @@ def worker_state(name: str, make):
     return kept[name]
 
 
+def trimmed() -> None:
+    """Gives back what a Python worker has freed in earlier tasks and still holds, as workers serve many stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import groups_of_text, partitions, small_batches, stored, table
+from .shared import groups_of_text, partitions, small_batches, stored, table, trimmed
 from .words import Words, mixed
 
 LAST = (1 << 63) - 1
@@ -166,7 +166,7 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id
     counts' names give way to them.  A window that all blocks of block_bytes of text hold costs its bucket a string a
     block, so larger blocks suit larger tables (a task needs about 30 times a block's bytes)."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 500, 4 << 20)  # a batch is held thrice: by the executor, by Arrow and as objects
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in counts}])
     names, at_key, at_text = docs.columns, docs.columns.index(key), docs.columns.index(text)
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
@@ -198,25 +198,45 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id
         if held:
             yield block()
 
-    def opened(data: bytes):
-        """A block's rows, ids, Words and runs."""
+    def rows_of(data: bytes):
+        """A block's rows and ids."""
         import numpy as np
         import pyarrow as pa
         import zstandard
 
         whole = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all().combine_chunks()
+        return whole, np.asarray(whole.column(at_key).cast(pa.int64()).fill_null(LAST).to_numpy())
+
+    def opened(data: bytes):
+        """A block's rows, ids, Words and runs."""
+        import pyarrow as pa
+
+        whole, ids = rows_of(data)
         column = whole.column(at_text).chunk(0) if whole.num_rows else pa.array([], pa.string())
-        ids = whole.column(at_key).cast(pa.int64()).fill_null(LAST).to_numpy()
-        return whole, np.asarray(ids), *super_kmers(column, k, m, buckets)
+        return whole, ids, *super_kmers(column, k, m, buckets)
+
+    def keys_of(data: bytes):
+        """A block's runs and ids as opened() gives them, but of the runs only documents and keys: the words of a slice
+        of the block are let go before the next."""
+        import numpy as np
+
+        whole, ids = rows_of(data)
+        runs, before = [], 0
+        for part in groups_of_text(whole.to_batches(), at_text, 1 << 20):
+            row, _, _, key = super_kmers(part.column(at_text), k, m, buckets)[1]
+            runs.append((row + before, key))
+            before += part.num_rows
+        row, key = (np.concatenate([r[i] for r in runs]) for i in (0, 1)) if runs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return (row, None, None, key), ids
 
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
+        trimmed()
         for b in batches:
-            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, ids, _, runs = opened(data)
-                found, several = asked(runs, ids)
+            for number, data in ((x.as_py(), y.as_py()) for x, y in zip(b.column(0), b.column(1))):
+                found, several = asked(*keys_of(data))
                 found = [(g, numbers((found[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64), several[i:j])) for g, i, j in by_bucket(found)]
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "block", "data"])
 
@@ -264,6 +284,7 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id
     def with_rows(batches):
         """(block, its data, its rows): a block's own row comes before the others."""
         data, rows, here = None, [], None
+        trimmed()
         for b in batches:
             for block, bucket, payload in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket == -1:
